@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import nearcopy, overlap, topn
+from corpusloom.llm import linkage, nearcopy, overlap, sentences, topn
 from corpusloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,9 @@ def queries() -> dict[str, Query]:
         "p3_found": lambda s, d: overlap.p3_found(table(s, d, "question_items")),
         "p3_overlap_report": lambda s, d: overlap.overlap_report(table(s, d, "question_items")),
         "p4_found": lambda s, d: nearcopy.p4_found(table(s, d, "pool_chunks")),
+        "p5_found": lambda s, d: linkage.p5_found(table(s, d, "paper_records"), table(s, d, "web_results")),
+        "p5_matches": lambda s, d: linkage.link(table(s, d, "paper_records"), table(s, d, "web_results")),
+        "p9_found": lambda s, d: sentences.p9_found(table(s, d, "documents")),
         "p4_near_same_groups": lambda s, d: nearcopy.near_same_groups(table(s, d, "pool_chunks")),
     }
 
