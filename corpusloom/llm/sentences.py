@@ -106,6 +106,8 @@ def _ends(text: str, first: int, stop: int, unit_quote: bool) -> bool:
     if mark == "…" and not spaced and _UNCASED.match(c):
         return False
     word = re.search(r"[^\s(\[（“«\"„‘]*$", text[max(0, first - 24) : first])[0]
+    if m := re.search(r"[^\W\d_]{3,}[.!?…]+(?=[A-Z])", word):  # a blank lost after the sentence before
+        word = word[m.end() :]
     if core == ".":
         if not spaced:
             if closed:
