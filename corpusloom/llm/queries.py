@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import linkage, nearcopy, overlap, sentences, topn
+from corpusloom.llm import linkage, mixing, nearcopy, overlap, packing, sentences, topn, truncation
 from corpusloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,13 @@ def queries() -> dict[str, Query]:
         "p4_found": lambda s, d: nearcopy.p4_found(table(s, d, "pool_chunks")),
         "p5_found": lambda s, d: linkage.p5_found(table(s, d, "paper_records"), table(s, d, "web_results")),
         "p5_matches": lambda s, d: linkage.link(table(s, d, "paper_records"), table(s, d, "web_results")),
+        "p6_found": lambda s, d: truncation.p6_found(table(s, d, "pool_chunks")),
+        "p6_cut_share": lambda s, d: truncation.cut_share(table(s, d, "pool_chunks")),
+        "p7_assignment": lambda s, d: packing.hierarchical(table(s, d, "documents"), table(s, d, "pack_sizes")),
+        "p7_by_capacity": lambda s, d: packing.by_capacity(table(s, d, "documents"), table(s, d, "pack_sizes")),
+        "p7_fill": lambda s, d: packing.fill_report(packing.hierarchical(table(s, d, "documents"), table(s, d, "pack_sizes"))),
+        "p8_mixture": lambda s, d: mixing.mixture(table(s, d, "documents"), table(s, d, "mix_targets")),
+        "p8_shares": lambda s, d: mixing.mix_report(mixing.mixture(table(s, d, "documents"), table(s, d, "mix_targets")), table(s, d, "mix_targets")),
         "p9_found": lambda s, d: sentences.p9_found(table(s, d, "documents")),
         "p4_near_same_groups": lambda s, d: nearcopy.near_same_groups(table(s, d, "pool_chunks")),
     }
