@@ -39,7 +39,8 @@ def wilson(part: Column, whole: Column, z: float = 1.96) -> Column:
     p = part / n
     centre = (p + z * z / (2 * n)) / (1 + z * z / n)
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
-    return F.struct(F.round(F.greatest(F.lit(0.0), centre - half), 3).alias("low"), F.round(F.least(F.lit(1.0), centre + half), 3).alias("high"))
+    bound = lambda c: F.when(n.isNotNull(), F.round(c, 3))
+    return F.struct(bound(F.greatest(F.lit(0.0), centre - half)).alias("low"), bound(F.least(F.lit(1.0), centre + half)).alias("high"))
 
 
 def cosine(a: Column, b: Column) -> Column:
