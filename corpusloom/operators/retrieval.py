@@ -10,53 +10,75 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Queries compared at once; a set of queries beyond it goes through in blocks.
-QUERY_BLOCK = 1024
+#: Queries and items of one comparison; up to one block of queries is broadcast.
+QUERY_BLOCK, ITEM_BLOCK = 1024, 4096
+_FOUND = "query_id long, item_id long, similarity double"
 
 
-def top_k_similar(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
+def top_k_similar(queries: DataFrame, items: DataFrame, k: int, query_block: int = QUERY_BLOCK, item_block: int = ITEM_BLOCK) -> DataFrame:
     """query_id, item_id, similarity, place: the k nearest items of each query by cosine, ties by id.
 
-    `queries`: query_id, vector; `items`: item_id, vector. Every task compares its
-    items with a block of queries in one matrix product and keeps k of each query,
-    so what is shuffled is k rows a query and task, not the pairs. Blocks hold
-    QUERY_BLOCK queries and are broadcast one by one, a size fixed by that number.
+    `queries`: query_id, vector; `items`: item_id, vector. Queries that fit one
+    block (counted first) are broadcast and every task compares its items with all
+    of them in one matrix product. More are cut into blocks, as the items are, and
+    each pair of blocks is one comparison. Either way k rows of a query and
+    comparison are shuffled, not the pairs. Null vectors match nothing.
     """
-    spark = queries.sparkSession
-    rows = [(r["query_id"], r["vector"]) for r in queries.select("query_id", "vector").toLocalIterator() if r["vector"]]
-    parts = []
-    for at in range(0, max(1, len(rows)), QUERY_BLOCK):
-        block = rows[at : at + QUERY_BLOCK]
-        if not block:
-            return spark.createDataFrame([], "query_id long, item_id long, similarity double, place int")
-        shared = spark.sparkContext.broadcast(([q for q, _ in block], np.array([v for _, v in block], np.float64)))
-        parts.append(items.select(F.col("item_id").cast("long"), "vector").mapInArrow(_nearest(shared, k), "query_id long, item_id long, similarity double"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    queries = queries.select(F.col("query_id").cast("long").alias("query_id"), "vector").filter("vector is not null")
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), "vector").filter("vector is not null")
+    n = queries.count()
+    if n <= query_block:
+        rows = queries.collect()
+        shared = queries.sparkSession.sparkContext.broadcast([(r["query_id"], r["vector"]) for r in rows])
+        found = items.mapInArrow(_nearest(shared, k), _FOUND)
+    else:
+        nq, ni = -(-n // query_block), max(1, -(-items.count() // item_block))
+        q = queries.groupBy(F.expr(f"cast(pmod(xxhash64(query_id), {nq}) as int)").alias("qb")).agg(F.collect_list(F.struct("query_id", "vector")).alias("q"))
+        i = items.groupBy(F.expr(f"cast(pmod(xxhash64(item_id), {ni}) as int)").alias("ib")).agg(F.collect_list(F.struct("item_id", "vector")).alias("i"))
+        pairs = q.withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(ni - 1)))).join(i, "ib").select("q", "i")
+        found = pairs.mapInArrow(_nearest_of_blocks(k), _FOUND)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id"))
     return found.withColumn("place", place).filter(F.col("place") <= k)
 
 
+def _best(queries: list[tuple[int, list[float]]], items: list[tuple[int, list[float]]], k: int) -> list[tuple[int, int, float]]:
+    width = len(queries[0][1]) if queries else 0
+    queries = [(i, v) for i, v in queries if len(v) == width]
+    items = [(i, v) for i, v in items if len(v) == width]
+    if not queries or not items:
+        return []
+    q, m = np.array([v for _, v in queries], np.float64), np.array([v for _, v in items], np.float64)
+    score = (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)) @ (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)).T
+    names = np.array([i for i, _ in items])
+    out = []
+    for row, (query, _) in enumerate(queries):
+        out += [(query, int(names[o]), float(score[row, o])) for o in np.lexsort((names, -score[row]))[:k]]
+    return out
+
+
+def _rows(found: list[tuple[int, int, float]]) -> pa.RecordBatch:
+    columns = list(zip(*found, strict=True)) or [[]] * 3
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "item_id", "similarity"])
+
+
 def _nearest(shared, k: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = shared.value
-        unit_q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        best: list[list[tuple[float, int]]] = [[] for _ in ids]
+        best: dict[int, list[tuple[float, int]]] = {}
+        for batch in batches:
+            items = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            for query, item, score in _best(shared.value, items, k):
+                best.setdefault(query, []).append((-score, item))
+            best = {q: sorted(b)[:k] for q, b in best.items()}
+        yield _rows([(q, i, -s) for q, b in best.items() for s, i in b])
+
+    return work
+
+
+def _nearest_of_blocks(k: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [(i, v) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if v and len(v) == q.shape[1]]
-            if not keep:
-                continue
-            m = np.array([v for _, v in keep], np.float64)
-            unit = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-            score = unit_q @ unit.T
-            names = np.array([i for i, _ in keep])
-            for row in range(len(ids)):
-                order = np.lexsort((names, -score[row]))[:k]
-                best[row] = sorted([*best[row], *((-score[row, o], int(names[o])) for o in order)])[:k]
-        out = [(q_, i, -s) for q_, b in zip(ids, best, strict=True) for s, i in b]
-        columns = list(zip(*out, strict=True)) or [[]] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "item_id", "similarity"])
+            for q, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield _rows(_best([(x["query_id"], x["vector"]) for x in q], [(x["item_id"], x["vector"]) for x in i], k))
 
     return work
 

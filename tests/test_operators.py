@@ -46,6 +46,8 @@ def test_top_k_matches_brute_force_with_ties(spark):
     queries = spark.createDataFrame([(7, [1.0, 1.0]), (8, [0.0, 0.0])], "query_id long, vector array<double>")
     got = [(r["query_id"], r["item_id"]) for r in retrieval.top_k_similar(queries, items, 3).orderBy("query_id", "place").collect()]
     assert got == [(7, 1), (7, 4), (7, 7), (8, 0), (8, 1), (8, 2)]
+    blocks = retrieval.top_k_similar(queries, items, 3, query_block=1, item_block=4)
+    assert [(r["query_id"], r["item_id"]) for r in blocks.orderBy("query_id", "place").collect()] == got
     assert retrieval.top_k_similar(queries.filter("false"), items, 3).count() == 0
 
 
