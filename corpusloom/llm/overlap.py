@@ -5,12 +5,13 @@ so, hence an edit changes only the chunks around it. Chunk digests are joined
 across splits and the lengths of shared chunks summed into overlap fractions.
 
 A digest of a common phrase joins everything with everything, so the join is on
-pairs of digests: a record lists its digests from rare to common; two records of
-n and m chunks that share at least `share` of the larger number share two digests
-within the first n - ceil(share * n) + 2 of the one and the like of the other
-(prefix principle), so joining on pairs within these prefixes loses none of them.
-Frequent digests come last and stay out of the keys. An exact check of the words
-then decides which candidates ask the same.
+three digests at once: a record lists its digests from rare to common; two records
+of n and m chunks that share at least `share` of the larger number share three
+digests within the first n - ceil(share * n) + 3 of the one and the like of the
+other (prefix principle), so joining on triples within these prefixes loses none of
+them; records of so few chunks that two or one would do join on pairs and single
+digests as well. Frequent digests come last and stay out of the keys. An exact
+check of the words then decides which candidates ask the same.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.sources.tables import stored
+
 #: Characters of the rolling window, and one in how many places is a cut.
 WINDOW, MASK = 4, 8
 #: Least share of chunks in common (of the larger record).
@@ -95,7 +99,7 @@ def canonical(text: str | None) -> str:
 def _near(a: str, b: str) -> bool:
     """Edit distance (with swaps) of at most 1, or 2 for words of 9 letters and more."""
     most = 2 if min(len(a), len(b)) >= 9 else 1
-    if min(len(a), len(b)) < 3 or abs(len(a) - len(b)) > most or a.isdigit() or b.isdigit():
+    if min(len(a), len(b)) < 3 or abs(len(a) - len(b)) > most or a.isdigit() or b.isdigit() or len(set(a) ^ set(b)) > 2 * most:
         return False
     rows = [list(range(len(b) + 1))]
     for i, x in enumerate(a, 1):
@@ -109,10 +113,16 @@ def _near(a: str, b: str) -> bool:
     return rows[-1][-1] <= most
 
 
+@lru_cache(maxsize=100_000)
+def _meant(word: str) -> str:
+    """The word a misspelt synonym stands for; other words as they are."""
+    return next((v for k, v in SYNONYMS.items() if " " not in k and len(k) >= 5 and k != word and _near(word, k)), word)
+
+
 def same_question(a: str, b: str) -> bool:
     """Whether two canonical texts say the same, apart from order, fillers and spelling."""
     x, y = Counter(a.split()), Counter(b.split())
-    loose = {"q", "question", "a", "an", "the", "overall", "today", "also", "really", "currently"}
+    loose = {"q", "question", "please", "explain", "a", "an", "the", "overall", "today", "also", "really", "currently", "in", "among"}
     left = [w for w in (x - y).elements() if w not in loose]
     right = [w for w in (y - x).elements() if w not in loose]
     if "".join(sorted("".join(left))) == "".join(sorted("".join(right))) and "".join(left) == "".join(right):
@@ -120,16 +130,13 @@ def same_question(a: str, b: str) -> bool:
     if len(left) != len(right):  # a word split or joined by a lost blank or hyphen
         return bool(left and right) and _near("".join(left), "".join(right)) and len("".join(left)) >= 6
     for w in left:
-        match = next((v for v in right if _near(w, v)), None)
+        match = next((v for v in right if _near(w, v) or _meant(w) == v or _meant(v) == w), None)
         if match is None:
             return False
         right.remove(match)
     return True
 
 
-_KEYS = "transform({range}, j -> xxhash64(least(d[i-1], d[j-1]), greatest(d[i-1], d[j-1])))"
-
-
 def chunk_pairs(records: DataFrame, train: str, held: list[str], share: float = SHARE) -> DataFrame:
     """Candidates (rec_a, rec_b, shared, fraction_a, fraction_b) across splits.
 
@@ -143,12 +150,15 @@ def chunk_pairs(records: DataFrame, train: str, held: list[str], share: float =
     often = cut.groupBy("digest").agg(F.count("*").alias("often"))
     listed = cut.join(often, "digest").groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("often", "digest", "length"))).alias("c"))
     listed = listed.withColumn("n", F.size("c")).withColumn("need", F.ceil(F.col("n") * F.lit(share)).cast("int"))
-    listed = listed.select(
-        "rec", "need", F.expr("transform(slice(c, 1, least(n, n - need + 2)), x -> x.digest)").alias("d"), F.expr("transform(c, x -> struct(x.digest, x.length))").alias("c")
-    )
-    own = F.expr("flatten(transform(sequence(1, size(d)), i -> " + _KEYS.format(range="sequence(i, i)") + "))")
-    two = F.expr("flatten(transform(sequence(1, size(d)), i -> " + _KEYS.format(range="filter(sequence(1, size(d)), k -> k > i)") + "))")
-    keys = sides.select("rec", "left").join(listed, "rec").select("rec", "left", F.explode(F.when(F.col("need") <= 1, F.concat(own, two)).otherwise(two)).alias("key"))
+    listed = stored(listed.select(
+        "rec", "need", F.expr("transform(slice(c, 1, least(n, n - need + 3)), x -> x.digest)").alias("d"), F.expr("transform(c, x -> struct(x.digest, x.length))").alias("c")
+    ))
+    # digests stand in one global order, so the same ones give the same key in either record
+    three = "flatten(flatten(transform(ix, i -> transform(filter(ix, j -> j > i), j -> transform(filter(ix, k -> k > j), k -> xxhash64(d[i], d[j], d[k]))))))"
+    two = "flatten(transform(filter(ix, i -> i < size(d) - 1), i -> transform(filter(ix, j -> j > i), j -> xxhash64(d[i], d[j]))))"
+    one = "transform(ix, i -> xxhash64(d[i]))"
+    combined = F.expr(f"concat({three}, if(need <= 2, {two}, array()), if(need <= 1, {one}, array()))")
+    keys = sides.select("rec", "left").join(listed, "rec").withColumn("ix", F.expr("sequence(0, size(d) - 1)")).select("rec", "left", F.explode(combined).alias("key"))
     a = keys.filter("left").select("key", F.col("rec").alias("rec_a"))
     b = keys.filter("not left").select("key", F.col("rec").alias("rec_b"))
     pairs = a.join(b, "key").select("rec_a", "rec_b").distinct()
@@ -191,7 +201,7 @@ def cross_split(items: DataFrame, train: str = "development", held: tuple[str, .
     one record; its copies come back only in the joined result.
     """
     kept = items.filter(F.col("set_name").isin(train, *held))
-    rows = _records(kept, train)
+    rows = stored(_records(kept, train))
     records = rows.select("rec", "split", "norm").distinct()
     found = chunk_pairs(records, train, ["held"]).withColumn("fraction", F.greatest("fraction_a", "fraction_b")).filter(F.col("fraction") >= least)
     na = records.select(F.col("rec").alias("rec_a"), F.col("norm").alias("norm_a"))
