@@ -4,12 +4,12 @@ A text is its set of three-word runs; copies with equal sets are one class. A
 path is a combination of shingles of a set, chosen by shared random hashes, so
 two similar sets choose many of the same paths. Level 1 takes about PATHS
 shingles of every set and groups the classes by them. A bucket of at most SMALL
-classes is compared pair by pair; a larger one is split: those of its sets that
-do not have ENOUGH small buckets yet go on with longer paths, combinations of
-sampled shingles that fell into large buckets. What is still together at the
-last level is compared in blocks, so no bucket is dropped. Repeating over PATHS
-independent shingles gives the recall: a pair of similarity 0.7 shares about
-0.8 of them.
+classes is compared pair by pair; a larger one is split: every set in it goes on
+with longer paths, combinations of sampled shingles that fell into large buckets,
+however many small buckets it has, as those need not hold its other links. What
+is still together at the last level is compared in blocks, so no bucket is
+dropped. Repeating over PATHS independent shingles gives the recall: a pair of
+similarity 0.7 shares about 0.8 of them.
 
 Comparisons inside a bucket use a packed min-hash sketch that travels with the
 path; survivors are verified on their whole texts. Hot shingles are stopped at
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm.shingles import agreeing, mix, set_hashes, shingle_sets, sketches
 from corpusloom.sources.tables import cut
 
-#: Shingles sampled of a set; classes of a bucket compared pair by pair; small buckets a set needs.
-PATHS, SMALL, ENOUGH = 12, 192, 4
+#: Shingles sampled of a set; classes of a bucket compared pair by pair.
+PATHS, SMALL = 12, 192
 #: Paths of a set at each further level, and the last level.
 DEEPER, LEVELS = 24, 3
 #: Agreeing bins of 32 that a candidate needs: similarity 0.7 falls short once in 5,000 times.
@@ -207,15 +207,18 @@ def _blocks(rows: DataFrame, block: int, agree: int) -> DataFrame:
     return spread.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j").mapInArrow(compare, "a long, b long").filter("a <> b")
 
 
-def candidates(texts: DataFrame, size: int = 3, paths: int = PATHS, small: int = SMALL, enough: int = ENOUGH, agree: int = AGREE, levels: int = LEVELS) -> DataFrame:
-    """Candidate class pairs (a < b) of the chosen-path join over `texts` (one column, text)."""
+def candidates(texts: DataFrame, size: int = 3, paths: int = PATHS, small: int = SMALL, enough: int | None = None, agree: int = AGREE, levels: int = LEVELS) -> DataFrame:
+    """Candidate class pairs (a < b) of the chosen-path join over `texts` (one column, text).
+
+    With `enough`, a set stops after that many small buckets, which loses links of large groups.
+    """
     rows = texts.mapInArrow(_first_level(size, paths, small), _ROW)
     found, tokens = [], None
     for level in range(1, levels + 1):
         split = rows.repartition("path").sortWithinPartitions("path", F.desc("over")).mapInArrow(_buckets(small, agree), _SPLIT)
-        # one row a candidate pair; one a set, if too few of its buckets are small
+        # one row a candidate pair; one a set with a large bucket
         packed = split.groupBy("a", "b").agg(F.collect_set("path").alias("large"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("n").alias("n"))
-        packed = cut(packed.filter(F.col("b").isNotNull() | (F.size("large") > F.col("n") - enough)))
+        packed = cut(packed if enough is None else packed.filter(F.col("b").isNotNull() | (F.size("large") > F.col("n") - enough)))
         found.append(packed.filter("b is not null").select("a", "b"))
         going = packed.filter("b is null").select(F.col("a").alias("cls"), "large", "s1", "s2")
         tokens = going if level == 1 else tokens.join(going.select("cls"), "cls", "left_semi")

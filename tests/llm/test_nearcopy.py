@@ -84,6 +84,20 @@ def test_hot_group_of_near_copies_is_whole(spark):
     assert found(spark, rows, small=8) == brute(rows)
 
 
+def test_large_group_of_edited_texts_is_whole(spark):
+    # each text's own edits fill small buckets, which must not keep it from the rest of its group
+    for n, length in ((1100, 70), (600, 60)):
+        rnd = random.Random(5)
+        rows = []
+        for k in range(n):
+            words = [f"h{j}" for j in range(length)]
+            for _ in range(rnd.randrange(1, 5)):
+                words[rnd.randrange(length)] = f"x{rnd.randrange(10**6)}"
+            rows.append((k, " ".join(words)))
+        got, want = found(spark, rows), brute(rows)
+        assert got <= want and len(want - got) <= len(want) // 200
+
+
 def test_edges(spark):
     rows = [(1, "same few"), (2, "Same, few."), (3, "other few"), (4, ""), (5, ""), (6, "!?"), (7, None), (None, "same few"), (8, "…"), (9, "…")]
     assert found(spark, rows) == {(1, 2), (4, 5), (8, 9)}
