@@ -10,8 +10,11 @@ of n and m chunks that share at least `share` of the larger number share three
 digests within the first n - ceil(share * n) + 3 of the one and the like of the
 other (prefix principle), so joining on triples within these prefixes loses none of
 them; records of so few chunks that two or one would do join on pairs and single
-digests as well. Frequent digests come last and stay out of the keys. An exact
-check of the words then decides which candidates ask the same.
+digests as well. Frequent digests come last and stay out of the keys. Triples grow
+with the cube of a record's chunks, so one of more than LONG joins on the single
+digests of the first n - ceil(share * n) + 1, as does every record that may share
+enough with such a one. An exact check of the words then decides which candidates
+ask the same.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ from corpusloom.sources.tables import stored
 WINDOW, MASK = 4, 8
 #: Least share of chunks in common (of the larger record).
 SHARE = 0.5
+#: Chunks of a record up to which it joins on triples.
+LONG = 40
 #: Wordings of one meaning in questions, by the word that stands for them.
 SYNONYMS = {
     "boosts": "improves", "enhances": "improves", "reduce": "lower", "decrease": "lower", "affect": "influence", "alter": "change", "modify": "change", "connect": "link", "tie": "link", "demonstrate": "show", "indicate": "show", "differ": "compare",
@@ -151,13 +156,13 @@ def chunk_pairs(records: DataFrame, train: str, held: list[str], share: float =
     listed = cut.join(often, "digest").groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("often", "digest", "length"))).alias("c"))
     listed = listed.withColumn("n", F.size("c")).withColumn("need", F.ceil(F.col("n") * F.lit(share)).cast("int"))
     listed = stored(listed.select(
-        "rec", "need", F.expr("transform(slice(c, 1, least(n, n - need + 3)), x -> x.digest)").alias("d"), F.expr("transform(c, x -> struct(x.digest, x.length))").alias("c")
+        "rec", "n", "need", F.expr("transform(slice(c, 1, least(n, n - need + 3)), x -> x.digest)").alias("d"), F.expr("transform(c, x -> struct(x.digest, x.length))").alias("c")
     ))
     # digests stand in one global order, so the same ones give the same key in either record
     three = "flatten(flatten(transform(ix, i -> transform(filter(ix, j -> j > i), j -> transform(filter(ix, k -> k > j), k -> xxhash64(d[i], d[j], d[k]))))))"
     two = "flatten(transform(filter(ix, i -> i < size(d) - 1), i -> transform(filter(ix, j -> j > i), j -> xxhash64(d[i], d[j]))))"
-    one = "transform(ix, i -> xxhash64(d[i]))"
-    combined = F.expr(f"concat({three}, if(need <= 2, {two}, array()), if(need <= 1, {one}, array()))")
+    one = "transform(slice(ix, 1, n - need + 1), i -> xxhash64(d[i]))"
+    combined = F.expr(f"concat(if(n <= {LONG}, {three}, array()), if(need <= 2, {two}, array()), if(need <= 1 or n > {LONG} * {share}, {one}, array()))")
     keys = sides.select("rec", "left").join(listed, "rec").withColumn("ix", F.expr("sequence(0, size(d) - 1)")).select("rec", "left", F.explode(combined).alias("key"))
     a = keys.filter("left").select("key", F.col("rec").alias("rec_a"))
     b = keys.filter("not left").select("key", F.col("rec").alias("rec_b"))
