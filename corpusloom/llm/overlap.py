@@ -4,17 +4,22 @@ Records are normalised and cut where a rolling hash of the last characters says
 so, hence an edit changes only the chunks around it. Chunk digests are joined
 across splits and the lengths of shared chunks summed into overlap fractions.
 
-A digest of a common phrase joins everything with everything, so the join is on
-three digests at once: a record lists its digests from rare to common; two records
-of n and m chunks that share at least `share` of the larger number share three
-digests within the first n - ceil(share * n) + 3 of the one and the like of the
-other (prefix principle), so joining on triples within these prefixes loses none of
-them; records of so few chunks that two or one would do join on pairs and single
-digests as well. Frequent digests come last and stay out of the keys. Triples grow
-with the cube of a record's chunks, so one of more than LONG joins on the single
-digests of the first n - ceil(share * n) + 1, as does every record that may share
-enough with such a one. An exact check of the words then decides which candidates
-ask the same.
+A digest of a common phrase would join everything with everything. A digest with
+at most BUCKET records on either side is a key by itself; of the others a record
+takes its RARE rarest and goes on with pairs of them, and where a pair is still
+frequent with triples, and so on, until every bucket is small or the record has
+no digest to add. So a record has a bounded number of keys, whatever its length,
+and candidates grow with the records, not with their square. What is frequent at
+the last step too is joined all the same.
+
+Candidates that share at least LEAST of the shorter record are aligned word by
+word. What differs comes out as replacements (words of one record against words of
+the other, or against nothing), and the corpus says what a replacement means: a
+wording (one verb for another, a polite opening) is rare and nearly every record
+that has it stands beside one that differs in just this, while a content word
+(another substance, another group of people) stands beside many others and mostly
+alone. The share of a replacement's records that have such a neighbour decides, by
+its lower confidence bound; no list of words does.
 """
 
 from __future__ import annotations
@@ -23,7 +28,6 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,21 +35,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.sources.tables import stored
+from corpusloom.sources.tables import BROADCAST_ROWS, stored
 
 #: Characters of the rolling window, and one in how many places is a cut.
 WINDOW, MASK = 4, 8
-#: Least share of chunks in common (of the larger record).
-SHARE = 0.5
-#: Chunks of a record up to which it joins on triples.
-LONG = 40
-#: Wordings of one meaning in questions, by the word that stands for them.
-SYNONYMS = {
-    "boosts": "improves", "enhances": "improves", "reduce": "lower", "decrease": "lower", "affect": "influence", "alter": "change", "modify": "change", "connect": "link", "tie": "link", "demonstrate": "show", "indicate": "show", "differ": "compare",
-    "newest": "latest", "most recent": "latest", "dangers": "risks", "hazards": "risks", "hope for": "expect", "understood": "known", "find": "establish", "found": "establish", "discover": "establish", "aggravates": "worsens", "approximately": "roughly", "by about how": "by roughly how", "harms": "worsens", "raise": "increase",
-}
-#: Words round a question that do not change what it asks.
-FILLERS = ("please explain", "question", "q", "i would like to know", "in short", "according to recent research", "according to current evidence", "on current evidence", "given current evidence", "current evidence", "recent research", "according to", "overall", "today", "if at all", "and why", "please", "explain", "a", "an", "the")
+#: Records of one side up to which a key joins, and frequent digests of a record that are combined.
+BUCKET, RARE = 8, 6
+#: Least share of the shorter record's length in common chunks.
+LEAST = 0.25
+#: Lower bound of the share of a replacement's records with a neighbour, its z, and how much more frequent one side must be.
+SURE, Z, RATIO = 0.2, 1.64, 10.0
+#: Least share of the words of the shorter record (misspellings included) that stand in both.
+WORDS = 0.75
+#: Replacements of a pair up to which it counts as a neighbour.
+FEW = 3
 
 
 def normalised(text: str | None) -> str:
@@ -75,30 +78,14 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     for batch in batches:
-        keys, digests, lengths = [], [], []
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        keys, sides, digests, lengths = [], [], [], []
+        for key, text, left in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             for chunk in dict.fromkeys(cut_points(text or "")):
                 keys.append(key)
+                sides.append(left)
                 digests.append(xxhash.xxh64_intdigest(chunk) - (1 << 63))
                 lengths.append(len(chunk))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(digests, pa.int64()), pa.array(lengths, pa.int32())], names=["rec", "digest", "length"])
-
-
-def canonical(text: str | None) -> str:
-    """`normalised`, with one word for each meaning and fillers at the ends gone."""
-    words = f" {normalised(text)} "
-    for old, new in SYNONYMS.items():
-        if f" {old} " in words:
-            words = words.replace(f" {old} ", f" {new} ")
-    changed = True
-    while changed:
-        changed = False
-        for filler in FILLERS:
-            if words.startswith(f" {filler} ") and len(words) > len(filler) + 2:
-                words, changed = words[len(filler) + 1 :], True
-            if words.endswith(f" {filler} ") and len(words) > len(filler) + 2:
-                words, changed = words[: -len(filler) - 1], True
-    return words.strip()
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sides, pa.bool_()), pa.array(digests, pa.int64()), pa.array(lengths, pa.int32())], names=["rec", "left", "digest", "length"])
 
 
 def _near(a: str, b: str) -> bool:
@@ -118,100 +105,189 @@ def _near(a: str, b: str) -> bool:
     return rows[-1][-1] <= most
 
 
-@lru_cache(maxsize=100_000)
-def _meant(word: str) -> str:
-    """The word a misspelt synonym stands for; other words as they are."""
-    return next((v for k, v in SYNONYMS.items() if " " not in k and len(k) >= 5 and k != word and _near(word, k)), word)
-
-
-def same_question(a: str, b: str) -> bool:
-    """Whether two canonical texts say the same, apart from order, fillers and spelling."""
-    x, y = Counter(a.split()), Counter(b.split())
-    loose = {"q", "question", "please", "explain", "a", "an", "the", "overall", "today", "also", "really", "currently", "in", "among"}
-    left = [w for w in (x - y).elements() if w not in loose]
-    right = [w for w in (y - x).elements() if w not in loose]
-    if "".join(sorted("".join(left))) == "".join(sorted("".join(right))) and "".join(left) == "".join(right):
-        return True
-    if len(left) != len(right):  # a word split or joined by a lost blank or hyphen
-        return bool(left and right) and _near("".join(left), "".join(right)) and len("".join(left)) >= 6
-    for w in left:
-        match = next((v for v in right if _near(w, v) or _meant(w) == v or _meant(v) == w), None)
-        if match is None:
-            return False
-        right.remove(match)
-    return True
-
+def replaced(a: str, b: str) -> list[tuple[str, str, bool]]:
+    """(words of a, words of b, whether one is a misspelling of the other) wherever two normalised texts differ.
 
-def chunk_pairs(records: DataFrame, train: str, held: list[str], share: float = SHARE) -> DataFrame:
+    Words are compared as bags first, so a moved clause is no difference. What is
+    left is joined to runs, and runs beside the same common word answer each other.
+    """
+    x, y = a.split(), b.split()
+    left, right = Counter(x) - Counter(y), Counter(y) - Counter(x)
+    out: list[tuple[str, str, bool]] = []
+    for w in list(left.elements()):
+        v = next((v for v in right if right[v] > 0 and _near(w, v)), None)
+        if v is not None:
+            left[w] -= 1
+            right[v] -= 1
+            out.append((w, v, True))
+    ours, theirs = _runs_of(x, left), _runs_of(y, right)
+    if "".join(r[2] for r in ours).replace(" ", "") == "".join(r[2] for r in theirs).replace(" ", ""):
+        return out  # a word split or joined
+    alone = []
+    for run in ours:
+        match = next((t for t in theirs if run[0] == t[0] or run[1] == t[1]), None)
+        if match is None:
+            alone.append(run)
+        else:
+            theirs.remove(match)
+            out.append((run[2], match[2], _near(run[2].replace(" ", ""), match[2].replace(" ", ""))))
+    if len(alone) == 1 and len(theirs) == 1:
+        return [*out, (alone[0][2], theirs[0][2], False)]
+    return [*out, *((r[2], "", False) for r in alone), *(("", r[2], False) for r in theirs)]
+
+
+def _runs_of(words: list[str], extra: Counter) -> list[tuple[str, str, str]]:
+    """(word before, word after, run) of the runs of words that the other text has not."""
+    extra, runs, begin = Counter(extra), [], None
+    for k, w in enumerate([*words, ""]):
+        if extra[w] > 0:
+            extra[w] -= 1
+            begin = k if begin is None else begin
+        elif begin is not None:
+            runs.append((words[begin - 1] if begin else "^", w or "$", " ".join(words[begin:k])))
+            begin = None
+    return runs
+
+
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The replacements of each pair that shares WORDS of its shorter record."""
+    kind = pa.list_(pa.struct([("x", pa.string()), ("y", pa.string()), ("slip", pa.bool_())]))
+    for batch in batches:
+        found, keep = [], []
+        for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            diffs = replaced(a, b)
+            x, y = a.split(), b.split()
+            other = sum(len((t[0] if len(x) <= len(y) else t[1]).split()) for t in diffs if not t[2])
+            keep.append(other <= (1 - WORDS) * min(len(x), len(y)))
+            found.append([{"x": x, "y": y, "slip": slip} for x, y, slip in diffs])
+        out = pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(found, kind)], names=["rec_a", "rec_b", "fraction", "diffs"])
+        yield out.filter(pa.array(keep, pa.bool_()))
+
+
+def _listed_keys(listed: DataFrame, frequent: DataFrame | None, size: int) -> DataFrame:
+    """rec, left, key: combinations of `size` of a record's frequent digests, each grown from a frequent one of a digest less."""
+    if frequent is None:
+        return listed.select("rec", "left", F.posexplode("d").alias("at", "digest")).select("rec", "left", "at", F.xxhash64("digest").alias("key"))
+    grown = frequent.join(listed.select("rec", "d"), "rec").withColumn("more", F.explode(F.expr("filter(sequence(0, size(d) - 1), i -> i > at)")))
+    return grown.select("rec", "left", F.col("more").alias("at"), F.xxhash64("key", F.expr("d[more]")).alias("key"))
+
+
+def chunk_pairs(records: DataFrame, train: str, held: list[str], least: float = LEAST, bucket: int = BUCKET, rare: int = RARE) -> DataFrame:
     """Candidates (rec_a, rec_b, shared, fraction_a, fraction_b) across splits.
 
-    `records`: rec long (unique), split, norm. a is of `train`, b of `held`. All
-    pairs are found that share at least `share` of the distinct chunks of the one
-    with more of them; `shared` is the length of their common chunks, the fractions
-    that length over either record's own. Empty texts have no chunk and no pair.
+    `records`: rec long (unique), split, norm. a is of `train`, b of `held`. A pair
+    comes out if it shares a digest, or a combination of the `rare` rarest frequent
+    digests of either, that at most `bucket` records of each side have (or the
+    longest combination there is), and `least` of the shorter length. Empty texts
+    have no chunk and no pair.
     """
     sides = records.filter(F.col("split").isin(train, *held)).select("rec", "norm", (F.col("split") == train).alias("left"))
-    cut = sides.select("rec", "norm").mapInArrow(_chunks, "rec long, digest long, length int")
-    often = cut.groupBy("digest").agg(F.count("*").alias("often"))
-    listed = cut.join(often, "digest").groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("often", "digest", "length"))).alias("c"))
-    listed = listed.withColumn("n", F.size("c")).withColumn("need", F.ceil(F.col("n") * F.lit(share)).cast("int"))
-    listed = stored(listed.select(
-        "rec", "n", "need", F.expr("transform(slice(c, 1, least(n, n - need + 3)), x -> x.digest)").alias("d"), F.expr("transform(c, x -> struct(x.digest, x.length))").alias("c")
-    ))
-    # digests stand in one global order, so the same ones give the same key in either record
-    three = "flatten(flatten(transform(ix, i -> transform(filter(ix, j -> j > i), j -> transform(filter(ix, k -> k > j), k -> xxhash64(d[i], d[j], d[k]))))))"
-    two = "flatten(transform(filter(ix, i -> i < size(d) - 1), i -> transform(filter(ix, j -> j > i), j -> xxhash64(d[i], d[j]))))"
-    one = "transform(slice(ix, 1, n - need + 1), i -> xxhash64(d[i]))"
-    combined = F.expr(f"concat(if(n <= {LONG}, {three}, array()), if(need <= 2, {two}, array()), if(need <= 1 or n > {LONG} * {share}, {one}, array()))")
-    keys = sides.select("rec", "left").join(listed, "rec").withColumn("ix", F.expr("sequence(0, size(d) - 1)")).select("rec", "left", F.explode(combined).alias("key"))
-    a = keys.filter("left").select("key", F.col("rec").alias("rec_a"))
-    b = keys.filter("not left").select("key", F.col("rec").alias("rec_b"))
-    pairs = a.join(b, "key").select("rec_a", "rec_b").distinct()
-    ca = listed.select(F.col("rec").alias("rec_a"), F.col("c").alias("c_a"))
-    cb = listed.select(F.col("rec").alias("rec_b"), F.col("c").alias("c_b"))
+    chunks = stored(sides.select("rec", "norm", "left").mapInArrow(_chunks, "rec long, left boolean, digest long, length int"))
+    count = chunks.groupBy("digest").agg(F.count_if("left").alias("na"), F.count_if(~F.col("left")).alias("nb")).filter("na > 0 and nb > 0")
+    placed = stored(chunks.join(count, "digest").select("rec", "left", "digest", F.greatest("na", "nb").alias("often")))
+    small = placed.filter(F.col("often") <= bucket).select("rec", "left", F.xxhash64("digest").alias("key"))
+    # digests in one global order, rarest first, so that the same combination has the same key in either record
+    listed = placed.filter(F.col("often") > bucket).groupBy("rec", "left").agg(F.expr(f"slice(array_sort(collect_list(struct(often, digest))), 1, {rare})").alias("d"))
+    listed = stored(listed.select("rec", "left", F.expr("transform(d, x -> x.digest)").alias("d")))
+    keys, frequent = [small], None
+    for size in range(1, rare + 1):
+        made = _listed_keys(listed, frequent, size)
+        much = made.groupBy("key").agg(F.count_if("left").alias("na"), F.count_if(~F.col("left")).alias("nb")).filter("na > 0 and nb > 0")
+        split = stored(made.join(much.select("key", (F.greatest("na", "nb") > bucket).alias("large")), "key"))
+        frequent = split.filter("large").select("rec", "left", "at", "key")
+        if size > 1:
+            keys.append(split.filter("not large").select("rec", "left", "key"))
+        if frequent.isEmpty():
+            break
+    else:
+        keys.append(frequent.select("rec", "left", "key"))
+    every = keys[0]
+    for more in keys[1:]:
+        every = every.unionByName(more)
+    a = every.filter("left").select("key", F.col("rec").alias("rec_a"))
+    b = every.filter("not left").select("key", F.col("rec").alias("rec_b"))
+    pairs = stored(a.join(b, "key").select("rec_a", "rec_b").distinct())
+    sets = chunks.groupBy("rec").agg(F.collect_list(F.struct("digest", "length")).alias("c"))
     length = "aggregate({}, 0, (s, x) -> s + x.length)"
     return (
-        pairs.join(ca, "rec_a")
-        .join(cb, "rec_b")
+        pairs.join(sets.select(F.col("rec").alias("rec_a"), F.col("c").alias("c_a")), "rec_a")
+        .join(sets.select(F.col("rec").alias("rec_b"), F.col("c").alias("c_b")), "rec_b")
         .select("rec_a", "rec_b", F.expr(length.format("array_intersect(c_a, c_b)")).alias("shared"), F.expr(length.format("c_a")).alias("len_a"), F.expr(length.format("c_b")).alias("len_b"))
         .select("rec_a", "rec_b", "shared", (F.col("shared") / F.col("len_a")).alias("fraction_a"), (F.col("shared") / F.col("len_b")).alias("fraction_b"))
+        .filter(F.greatest("fraction_a", "fraction_b") >= least)
     )
 
 
-@F.pandas_udf(T.StringType())
-def _canonical(texts):  # noqa: ANN001, ANN202
-    return texts.map(canonical)
+def _frequencies(records: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, df: in how many records each of the distinct `terms` (words and pairs of words) stands."""
+    words = F.split("norm", " ")
+    both = F.expr("concat(w, transform(filter(sequence(0, size(w) - 1), i -> i > 0), i -> concat(w[i - 1], ' ', w[i])))")
+    wanted = F.broadcast(terms) if terms.count() <= BROADCAST_ROWS else terms
+    return records.withColumn("w", words).select(F.explode(F.array_distinct(both)).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
 
 
-@F.pandas_udf(T.BooleanType())
-def _same(a, b):  # noqa: ANN001, ANN202
-    return a.combine(b, same_question)
+def same_by_corpus(pairs: DataFrame, records: DataFrame, sure: float = SURE, z: float = Z, ratio: float = RATIO, few: int = FEW) -> DataFrame:
+    """Of `pairs` (rec_a, rec_b, fraction, diffs) those whose every replacement is a wording or a misspelling.
+
+    A misspelling (one edit, two in long words) must be of a word at least twenty
+    times rarer, or of one that stands in two records at most. For a replacement, n
+    is the number of pairs with at most `few` differences that show it and m the
+    number of records with the rarer side (for an insertion, its rarest word or pair
+    of words); the lower bound of n / m must reach `sure`, and the other side must
+    be `ratio` times as frequent.
+    """
+    flat = stored(pairs.select("rec_a", "rec_b", "fraction", F.explode_outer("diffs").alias("t")).select(
+        "rec_a", "rec_b", "fraction", F.coalesce("t.slip", F.lit(False)).alias("slip"),
+        F.least("t.x", "t.y").alias("x"), F.greatest("t.x", "t.y").alias("y"), F.col("t").isNull().alias("equal"),
+    ))
+    shown = pairs.filter(F.size("diffs") <= few).select(F.explode(F.expr("array_distinct(transform(diffs, t -> struct(least(t.x, t.y) AS x, greatest(t.x, t.y) AS y)))")).alias("t")).groupBy("t").agg(F.count("*").alias("n")).select("t.*", "n")
+    kinds = flat.filter("not equal").select("x", "y", "slip").distinct()
+    pieces = "split({0}, ' ')"
+    pairs_of = "transform(filter(sequence(0, size(split({0}, ' ')) - 1), i -> i > 0), i -> concat(split({0}, ' ')[i - 1], ' ', split({0}, ' ')[i]))"
+    sided = kinds.select("x", "y", F.explode(F.expr(f"concat(transform({pieces.format('x')}, w -> struct(0 AS side, w AS term)), transform(if(x = '', concat({pieces.format('y')}, {pairs_of.format('y')}), {pieces.format('y')}), w -> struct(1 AS side, w AS term)))")).alias("s"))
+    sided = sided.select("x", "y", "s.side", "s.term").filter("term <> ''").distinct()
+    df = _frequencies(records, sided.select("term").distinct())
+    rarest = sided.join(df, "term").groupBy("x", "y").agg(F.min(F.when(F.col("side") == 0, F.col("df"))).alias("dx"), F.min(F.when(F.col("side") == 1, F.col("df"))).alias("dy"))
+    m = F.least("dx", "dy")  # of an insertion the one side there is
+    p = F.least(F.lit(1.0), F.col("n") / m)
+    low = (p + z * z / 2 / m - z * F.sqrt(F.greatest(F.lit(0.0), p * (1 - p) / m + z * z / 4 / m / m))) / (1 + z * z / m)
+    spelt = F.col("slip") & (m <= F.greatest(F.lit(2.0), F.greatest("dx", "dy") / 20))
+    worded = (low >= sure) & ((F.col("x") == "") | (F.greatest("dx", "dy") >= ratio * m))
+    judged = kinds.join(rarest, ["x", "y"]).join(shown, ["x", "y"], "left").fillna(0, ["n"]).select("x", "y", "slip", (spelt | worded).alias("ok"))
+    return flat.join(judged, ["x", "y", "slip"], "left").groupBy("rec_a", "rec_b").agg(F.min(F.col("equal") | F.coalesce("ok", F.lit(False))).alias("same"), F.max("fraction").alias("fraction")).filter("same").select("rec_a", "rec_b", "fraction")
+
+
+@F.pandas_udf(T.StringType())
+def _normal(texts):  # noqa: ANN001, ANN202
+    return texts.map(normalised)
 
 
 def _records(items: DataFrame, train: str) -> DataFrame:
     """One row per split side and wording, with the ids that carry it."""
     side = F.when(F.col("set_name") == train, F.lit(train)).otherwise(F.lit("held"))
-    rows = items.filter(F.col("question_id").isNotNull() & F.col("set_name").isNotNull()).select(side.alias("split"), "question_id", _canonical("question").alias("norm"))
+    rows = items.filter(F.col("question_id").isNotNull() & F.col("set_name").isNotNull()).select(side.alias("split"), "question_id", _normal("question").alias("norm"))
     return rows.filter(F.col("norm") != "").withColumn("rec", F.xxhash64("split", "norm"))
 
 
-def cross_split(items: DataFrame, train: str = "development", held: tuple[str, ...] = ("validation", "test"), least: float = 0.4) -> DataFrame:
+def cross_split(items: DataFrame, train: str = "development", held: tuple[str, ...] = ("validation", "test"), least: float = LEAST) -> DataFrame:
     """question_id_a (training side), question_id_b (held out), fraction: overlapping records.
 
     fraction is the share of the shorter record's length that lies in common
-    chunks; 1 for equal texts. Pairs below `least` are left out before the exact
-    check. Null ids, sets and questions, and questions without a letter or digit,
-    give no pair; ids exported twice give a pair once; columns not named are not
-    read. The wording is collapsed first, so a question repeated many times costs
-    one record; its copies come back only in the joined result.
+    chunks; 1 for equal texts. Pairs below `least` are not aligned. Null ids, sets
+    and questions, and questions without a letter or digit, give no pair; ids
+    exported twice give a pair once; columns not named are not read. The wording is
+    collapsed first, so a question repeated many times costs one record; its copies
+    come back only in the joined result.
     """
     kept = items.filter(F.col("set_name").isin(train, *held))
     rows = stored(_records(kept, train))
     records = rows.select("rec", "split", "norm").distinct()
-    found = chunk_pairs(records, train, ["held"]).withColumn("fraction", F.greatest("fraction_a", "fraction_b")).filter(F.col("fraction") >= least)
+    found = chunk_pairs(records, train, ["held"], least).select("rec_a", "rec_b", F.greatest("fraction_a", "fraction_b").alias("fraction"))
     na = records.select(F.col("rec").alias("rec_a"), F.col("norm").alias("norm_a"))
     nb = records.select(F.col("rec").alias("rec_b"), F.col("norm").alias("norm_b"))
-    sure = found.join(na, "rec_a").join(nb, "rec_b").filter(_same("norm_a", "norm_b")).select("rec_a", "rec_b", "fraction")
+    aligned = found.join(na, "rec_a").join(nb, "rec_b").select("rec_a", "rec_b", "fraction", "norm_a", "norm_b")
+    aligned = stored(aligned.mapInArrow(_differences, "rec_a long, rec_b long, fraction double, diffs array<struct<x string, y string, slip boolean>>"))
+    sure = same_by_corpus(aligned, records)
     ids = rows.select("rec", "question_id").distinct()
     return (
         sure.join(ids.select(F.col("rec").alias("rec_a"), F.col("question_id").alias("question_id_a")), "rec_a")
