@@ -1,24 +1,27 @@
 """Near-same texts by a chosen-path join over word shingles.
 
-A text is its set of three-word runs; copies with equal sets are one class. A
-path is a combination of shingles of a set, chosen by shared random hashes, so
-two similar sets choose many of the same paths. Level 1 takes about PATHS
-shingles of every set and groups the classes by them. A bucket of at most SMALL
-classes is compared pair by pair; a larger one is split: every set in it goes on
-with longer paths, combinations of sampled shingles that fell into large buckets,
-however many small buckets it has, as those need not hold its other links. What
-is still together at the last level is compared in blocks, so no bucket is
-dropped. Repeating over PATHS independent shingles gives the recall: a pair of
-similarity 0.7 shares about 0.8 of them.
+A text is its set of three-word runs; copies with equal sets are one class. A path
+is a combination of shingles of a set, chosen by shared random hashes, so two
+similar sets choose many of the same paths. Every set samples about PATHS of its
+shingles: as many independent runs, each of one shingle, as bring the chance that a
+pair of similarity LEAST shares none under 1 - RECALL. The classes are grouped by
+these paths. A bucket of at most SMALL classes is compared pair by pair. A larger
+one in which a share DENSE of the pairs looks similar is compared as a whole, in
+blocks: that is no more than a few times the pairs it yields. Any other is split:
+every class in it extends the path by its other sampled shingles with large
+buckets, at most DEEPER children a class, chosen by hash. What is still together
+after LEVELS shingles is compared in blocks too, so no bucket is dropped.
 
 Comparisons inside a bucket use a packed min-hash sketch that travels with the
-path; survivors are verified on their whole texts. Hot shingles are stopped at
-the mapper: a task sends at most SMALL + 1 rows of one path, enough to show that
-the bucket is large.
+path; survivors are verified on their whole texts. Hot shingles are stopped at the
+mapper: a task sends at most SMALL + 1 rows of one path, enough to show that the
+bucket is large; its members are found again from the table of classes, which is
+made once and holds sketch and sampled shingles.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,18 +30,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.shingles import agreeing, mix, set_hashes, shingle_sets, sketches
-from corpusloom.sources.tables import cut
-
-#: Shingles sampled of a set; classes of a bucket compared pair by pair.
-PATHS, SMALL = 12, 192
-#: Paths of a set at each further level, and the last level.
-DEEPER, LEVELS = 24, 3
+from corpusloom.sources.tables import broadcast_if_small, cut, stored
+
+#: Target recall of a pair at the least similarity, and the runs (sampled shingles) that give it.
+RECALL, LEAST = 0.9997, 0.7
+PATHS = math.ceil(-math.log(1 - RECALL) / LEAST)
+#: Classes of a bucket compared pair by pair; children of a class at each further level; shingles of the longest path.
+SMALL, DEEPER, LEVELS = 192, 12, 4
+#: Share of similar pairs among SMALL + 1 members from which a large bucket is not split.
+DENSE = 0.3
 #: Agreeing bins of 32 that a candidate needs: similarity 0.7 falls short once in 5,000 times.
 AGREE = 14
 #: Texts worked on at once.
 STEP = 1500
-#: Ids up to which the set of candidates is broadcast; beyond, it is joined by shuffle.
-BROADCAST_IDS = 1_000_000
 
 
 def _parts(batches: Iterator[pa.RecordBatch], step: int = STEP):
@@ -55,32 +59,27 @@ def _sampled(value: np.ndarray, offsets: np.ndarray, paths: int) -> np.ndarray:
     return draw < np.repeat(most, np.diff(offsets))
 
 
-def _first_level(size: int, paths: int, small: int):
-    def paths_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: dict[int, int] = {}
+def _facts(size: int, paths: int):
+    """Of each row its class; of each class new to the task also its sketch and sampled shingles."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for batch in _parts(batches):
-            texts = [t or "" for t in batch.column(0).to_pylist()]
+            texts = [t or "" for t in batch.column(1).to_pylist()]
             value, offsets = shingle_sets(texts, size)
             own = set_hashes(value, offsets, texts)
-            fresh = np.fromiter((c not in done and not done.add(c) for c in own.tolist()), bool, len(own))
+            fresh = np.fromiter((c not in done and not done.add(c) for c in own.tolist()), bool, len(own)) & (np.diff(offsets) > 0)
             sketch = sketches(value, offsets)
             doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
             take = _sampled(value, offsets, paths) & fresh[doc]
-            token, doc = value[take].astype(np.int64), doc[take]
-            count = np.bincount(doc, minlength=len(texts))
-            over = np.zeros(len(token), bool)
-            for i, t in enumerate(token.tolist()):
-                k = sent.get(t, 0)
-                over[i] = k > small
-                sent[t] = k + 1
-            if len(sent) > 2_000_000:  # only paths that are large already matter
-                sent = {t: k for t, k in sent.items() if k > 1}
+            count = np.bincount(doc[take], minlength=len(texts))
+            ends = np.r_[0, np.cumsum(count)].astype(np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(value[take].astype(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(x) for x in (token, own[doc], sketch[doc, 0], sketch[doc, 1], count[doc], over))], names=["path", "cls", "s1", "s2", "n", "over"]
+                [batch.column(0), *(pa.array(x) for x in (own, sketch[:, 0], sketch[:, 1], fresh)), tokens], names=["row_id", "cls", "s1", "s2", "fresh", "tokens"]
             )
 
-    return paths_of
+    return work
 
 
 def _pairs(cls: np.ndarray, sketch: np.ndarray, agree: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,51 +90,39 @@ def _pairs(cls: np.ndarray, sketch: np.ndarray, agree: int) -> tuple[np.ndarray,
 
 
 def _buckets(small: int, agree: int):
-    """Rows sorted by path: candidate pairs (a, b) of small buckets, and rows (a, null) of large ones."""
-    empty = np.zeros(0, np.int64)
+    """Rows sorted by path: candidate pairs (a, b, null) of small buckets, and (null, 1 if dense else 0, path) of each large one."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = None
-        known_large: int | None = None  # a path whose bucket is known to be large, still coming
+        large: list[int] = []  # the last is the path still coming
 
         def work(rows: list[np.ndarray], last: bool):
-            """Candidates and large members of the complete runs in `rows`; what is left over."""
-            nonlocal known_large
-            path, prior, known_large = rows[0], known_large, None
+            """Candidates and large paths of the complete runs in `rows`; the open run if it is not yet large."""
+            path = rows[0]
             starts = np.flatnonzero(np.r_[True, path[1:] != path[:-1]])
             ends = np.r_[starts[1:], len(path)]
-            pairs_a, pairs_b, marks = [], [], []
-            several = np.flatnonzero((ends - starts > 1) | (path[starts] == prior if prior is not None else False))
-            for s, e in zip(starts[several].tolist(), ends[several].tolist(), strict=True):
-                open_run = e == len(path) and not last
-                if path[s] == prior or rows[5][s:e].any() or (e - s > small and len(np.unique(rows[1][s:e])) > small):
-                    marks.append((s, e))
-                    known_large = int(path[s]) if open_run else None
+            pairs_a, pairs_b, found, dense, left = [], [], [], [], None
+            for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+                if large and path[s] == large[-1]:
                     continue
-                if open_run:
-                    break
-                _, first = np.unique(rows[1][s:e], return_index=True)
-                if len(first) > 1:
-                    at = s + first
-                    a, b = _pairs(rows[1][at], np.stack([rows[2][at], rows[3][at]], 1), agree)
+                if e - s > small:
+                    large.append(int(path[s]))
+                    found.append(int(path[s]))
+                    some = slice(s, s + small + 1)
+                    like = len(_pairs(rows[1][some], np.stack([rows[2][some], rows[3][some]], 1), agree)[0])
+                    dense.append(int(like >= DENSE * small * (small + 1) / 2))
+                elif e == len(path) and not last:
+                    left = [r[s:] for r in rows]
+                elif e - s > 1:
+                    a, b = _pairs(rows[1][s:e], np.stack([rows[2][s:e], rows[3][s:e]], 1), agree)
                     pairs_a.append(a)
                     pairs_b.append(b)
-            at = np.concatenate([np.arange(s, e) for s, e in marks]) if marks else empty
-            a = np.concatenate([*pairs_a, rows[1][at]])
-            b = np.concatenate(pairs_b) if pairs_b else empty
-            n = len(a) - len(b)
-            none = np.zeros(len(b), np.int64)
-            out = [
-                pa.array(a),
-                pa.array(np.r_[b, np.zeros(n, np.int64)], mask=np.r_[np.zeros(len(b), bool), np.ones(n, bool)]),
-                *(pa.array(np.r_[none, rows[k][at]]) for k in (0, 2, 3, 4)),
-            ]
-            left = None
-            if not last:
-                s = int(starts[-1])
-                if path[s] != known_large:
-                    left = [r[s:] for r in rows]
-            return pa.RecordBatch.from_arrays(out, names=["a", "b", "path", "s1", "s2", "n"]), left
+            del large[:-1]
+            none = np.zeros(0, np.int64)
+            a, b, p = np.concatenate([none, *pairs_a]), np.concatenate([none, *pairs_b]), np.array(found, np.int64)
+            mask = np.r_[np.zeros(len(a), bool), np.ones(len(p), bool)]
+            full = [pa.array(np.r_[a, np.zeros(len(p), np.int64)], mask=mask), pa.array(np.r_[b, np.array(dense, np.int64)])]
+            return pa.RecordBatch.from_arrays([*full, pa.array(np.r_[np.zeros(len(a), np.int64), p], mask=~mask)], names=["a", "b", "path"]), left
 
         for batch in batches:
             if not batch.num_rows:
@@ -151,31 +138,65 @@ def _buckets(small: int, agree: int):
     return compare
 
 
-def _deeper(level: int, paths: int):
-    """Combinations of `level` shingles of large buckets, about `paths` of each set."""
+_SPLIT = "a long, b long, path long"
 
-    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from itertools import combinations
 
-        for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for c, tokens, a, b in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                tokens = sorted(set(tokens))
-                every = np.array(list(combinations(tokens, min(level, len(tokens)))), np.int64).reshape(-1, min(level, len(tokens)))
-                key = np.full(len(every), level, np.uint64)
-                for k in range(every.shape[1]):
-                    key = mix(key + every[:, k].astype(np.uint64))
-                chosen = np.sort(key)[:paths].astype(np.int64).tolist()
-                for column, values in zip(out, (chosen, [c] * len(chosen), [a] * len(chosen), [b] * len(chosen), [len(chosen)] * len(chosen)), strict=True):
-                    column += values
-            over = pa.array(np.zeros(len(out[0]), bool))
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out), over], names=["path", "cls", "s1", "s2", "n", "over"])
+def _ranks(group: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The place of each entry within its group when taken in `order` (which sorts by group)."""
+    g = group[order]
+    starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, np.int64)
+    rank = np.empty(len(g), np.int64)
+    rank[order] = np.arange(len(g)) - np.repeat(starts, np.diff(np.r_[starts, len(g)]))
+    return rank
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values, lengths) of a list column."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
+
+
+def _grow(most: int | None, small: int | None):
+    """(path, cls, s1, s2, at): each path of a class grown by each later token of it.
+
+    With `most`, the so many children of a class of least hash; with `small`, of one
+    path at most that many + 1 rows from one task.
+    """
 
-    return combine
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: dict[int, int] = {}
+        for batch in _parts(batches, 8192):
+            token, size = _flat(batch.column(3))
+            key, held = _flat(batch.column(4))
+            at, _ = _flat(batch.column(5))
+            doc = np.repeat(np.arange(batch.num_rows), size)
+            token = token[np.lexsort((token, doc))]
+            begin = np.r_[0, np.cumsum(size)]
+            owner = np.repeat(np.arange(batch.num_rows), held)
+            count = size[owner] - 1 - at
+            source = np.repeat(np.arange(len(key)), count)
+            last = at[source] + 1 + np.arange(len(source)) - np.repeat(np.cumsum(count) - count, count)
+            owner = owner[source]
+            path = mix(token[begin[owner] + last].astype(np.uint64) + key[source].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            if most is not None:
+                keep = _ranks(owner, np.lexsort((path, owner))) < most
+                path, owner, last = path[keep], owner[keep], last[keep]
+            path = path.astype(np.int64)
+            if small is not None:
+                each, inverse, n = np.unique(path, return_inverse=True, return_counts=True)
+                before = np.fromiter((sent.get(p, 0) for p in each.tolist()), np.int64, len(each))
+                sent.update(zip(each.tolist(), (before + n).tolist(), strict=True))
+                keep = before[inverse] + _ranks(inverse, np.argsort(inverse, kind="stable")) <= small
+                path, owner, last = path[keep], owner[keep], last[keep]
+                if len(sent) > 2_000_000:  # a path forgotten is only sent more often
+                    sent = {p: k for p, k in sent.items() if k > 1}
+            rest = [batch.column(k).to_numpy(zero_copy_only=False)[owner] for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (path, *rest, last.astype(np.int64)))], names=["path", "cls", "s1", "s2", "at"])
+
+    return work
 
 
-_ROW = "path long, cls long, s1 long, s2 long, n long, over boolean"
-_SPLIT = "a long, b long, path long, s1 long, s2 long, n long"
+_GROWN = "path long, cls long, s1 long, s2 long, at long"
 
 
 def _blocks(rows: DataFrame, block: int, agree: int) -> DataFrame:
@@ -207,44 +228,56 @@ def _blocks(rows: DataFrame, block: int, agree: int) -> DataFrame:
     return spread.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j").mapInArrow(compare, "a long, b long").filter("a <> b")
 
 
-def candidates(texts: DataFrame, size: int = 3, paths: int = PATHS, small: int = SMALL, enough: int | None = None, agree: int = AGREE, levels: int = LEVELS) -> DataFrame:
-    """Candidate class pairs (a < b) of the chosen-path join over `texts` (one column, text).
+def classes_of(facts: DataFrame) -> DataFrame:
+    """cls, s1, s2, tokens: one row a class, of `facts` as `_facts` makes them."""
+    return facts.filter("fresh").groupBy("cls").agg(*(F.first(c).alias(c) for c in ("s1", "s2", "tokens")))
 
-    With `enough`, a set stops after that many small buckets, which loses links of large groups.
-    """
-    rows = texts.mapInArrow(_first_level(size, paths, small), _ROW)
-    found, tokens = [], None
+
+def candidates(classes: DataFrame, small: int = SMALL, agree: int = AGREE, deeper: int = DEEPER, levels: int = LEVELS) -> DataFrame:
+    """Candidate class pairs (a < b) of the chosen-path join over `classes` (stored: cls, s1, s2, tokens)."""
+    frontier = classes.select("cls", "s1", "s2", "tokens", F.array(F.lit(0).cast("long")).alias("keys"), F.array(F.lit(-1).cast("long")).alias("at"))
+    found = []
     for level in range(1, levels + 1):
-        split = rows.repartition("path").sortWithinPartitions("path", F.desc("over")).mapInArrow(_buckets(small, agree), _SPLIT)
-        # one row a candidate pair; one a set with a large bucket
-        packed = split.groupBy("a", "b").agg(F.collect_set("path").alias("large"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("n").alias("n"))
-        packed = cut(packed if enough is None else packed.filter(F.col("b").isNotNull() | (F.size("large") > F.col("n") - enough)))
-        found.append(packed.filter("b is not null").select("a", "b"))
-        going = packed.filter("b is null").select(F.col("a").alias("cls"), "large", "s1", "s2")
-        tokens = going if level == 1 else tokens.join(going.select("cls"), "cls", "left_semi")
-        if going.isEmpty():
+        most = None if level == 1 else deeper
+        rows = frontier.mapInArrow(_grow(most, small), _GROWN).select("path", "cls", "s1", "s2")
+        split = cut(rows.repartition("path").sortWithinPartitions("path").mapInArrow(_buckets(small, agree), _SPLIT))
+        found.append(split.filter("path is null").select("a", "b"))
+        large = split.filter("path is not null").select("path", (F.col("b") == 1).alias("dense")).distinct()
+        if large.isEmpty():
             break
-        rows = tokens.mapInArrow(_deeper(level + 1, DEEPER), _ROW)
-        if level == levels - 1:
-            found.append(_blocks(rows, small, agree))
+        on = frontier.mapInArrow(_grow(most, None), _GROWN).join(broadcast_if_small(large), "path")
+        found.append(_blocks(on if level == levels else on.filter("dense"), small, agree))
+        if level == levels:
             break
+        going = on.filter("not dense").groupBy("cls").agg(F.collect_list(F.struct("at", "path")).alias("g"))
+        joined = frontier.select("cls", "s1", "s2", "tokens").join(going, "cls")
+        if level == 1:  # a shingle whose bucket is small has shown all its pairs
+            large_tokens = F.expr("transform(g, x -> array_sort(tokens)[int(x.at)])")
+            frontier = joined.select("cls", "s1", "s2", F.array_sort(large_tokens).alias("tokens"), F.expr("transform(array_sort(g), x -> x.path)").alias("keys"), F.expr("transform(sequence(0, size(g) - 1), i -> bigint(i))").alias("at"))
+        else:
+            frontier = joined.select("cls", "s1", "s2", "tokens", F.expr("transform(g, x -> x.path)").alias("keys"), F.expr("transform(g, x -> x.at)").alias("at"))
+        frontier = stored(frontier)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return out.distinct()
 
 
-def _classes(size: int, with_text: bool):
+def shingle_table(rows: DataFrame, members: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """cls, shingles of the classes in `ids`: only one row of each is read again and cut into shingles."""
+    wanted = broadcast_if_small(ids)
+    first = cut(members.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("row_id").alias("row_id")))
+    texts = rows.join(broadcast_if_small(first.select("row_id").distinct()), "row_id", "left_semi").select("text")
+    return texts.mapInArrow(_sets(size), "cls long, shingles array<long>").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("shingles").alias("shingles"))
+
+
+def _sets(size: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in batch.column(0).to_pylist()]
             value, offsets = shingle_sets(texts, size)
-            own = pa.array(set_hashes(value, offsets, texts))
-            if with_text:
-                sets = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(value.astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([own, sets], names=["cls", "shingles"])
-            else:
-                yield pa.RecordBatch.from_arrays([batch.column(0), own], names=["row_id", "cls"])
+            sets = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(value.astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(set_hashes(value, offsets, texts)), sets], names=["cls", "shingles"])
 
     return work
 
@@ -264,26 +297,29 @@ def _verify(least: float):
     return work
 
 
-def similar_classes(rows: DataFrame, least: float = 0.7, size: int = 3, **options) -> tuple[DataFrame, DataFrame]:
+def verified(pairs: DataFrame, rows: DataFrame, members: DataFrame, least: float, size: int) -> DataFrame:
+    """Of the candidate pairs (a, b) those whose whole shingle sets have similarity `least`, with it."""
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
+    sets = shingle_table(rows, members, ids, size)
+    joined = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
+    return cut(joined.select("a", "b", "x", "y").mapInArrow(_verify(least), "a long, b long, similarity double"))
+
+
+def similar_classes(rows: DataFrame, least: float = LEAST, size: int = 3, paths: int = PATHS, **options) -> tuple[DataFrame, DataFrame]:
     """(links, members): verified class pairs (a < b, similarity) and every row's class.
 
-    `rows`: row_id long, text string. links is checkpointed; equal sets of
-    shingles are one class and no link. similarity is over whole texts.
+    `rows`: row_id long, text string; rows without either have no class. Both
+    results are cut; equal sets of shingles are one class and no link. similarity is
+    over whole texts.
     """
-    rows = rows.select(F.col("row_id").cast("long").alias("row_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())
-    pairs = cut(candidates(rows.select("text"), size, **options))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    ids = cut(ids)
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = rows.mapInArrow(_classes(size, True), "cls long, shingles array<long>").join(wanted, "cls", "left_semi")
-    sets = sets.groupBy("cls").agg(F.first("shingles").alias("shingles"))
-    joined = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
-    links = cut(joined.select("a", "b", "x", "y").mapInArrow(_verify(least), "a long, b long, similarity double"))
-    members = rows.mapInArrow(_classes(size, False), "row_id long, cls long")
-    return links, members
+    rows = rows.select(F.col("row_id").cast("long").alias("row_id"), F.col("text").cast("string").alias("text")).filter("text is not null and row_id is not null")
+    facts = stored(rows.mapInArrow(_facts(size, paths), "row_id long, cls long, s1 long, s2 long, fresh boolean, tokens array<long>"))
+    members = facts.select("row_id", "cls")
+    pairs = cut(candidates(stored(classes_of(facts)), **options))
+    return verified(pairs, rows, members, least, size), members
 
 
-def near_same_pairs(rows: DataFrame, least: float = 0.7, size: int = 3, **options) -> DataFrame:
+def near_same_pairs(rows: DataFrame, least: float = LEAST, size: int = 3, block: int = 4096, **options) -> DataFrame:
     """row_id_a < row_id_b of every two rows whose shingle sets have similarity `least` or more.
 
     Equal texts are pairs too. Null texts and null ids have none; texts without a
@@ -292,28 +328,34 @@ def near_same_pairs(rows: DataFrame, least: float = 0.7, size: int = 3, **option
     """
     links, members = similar_classes(rows, least, size, **options)
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    members = members.filter("row_id is not null").distinct()
+    members = members.distinct()
     often = members.groupBy("cls").agg(F.count("*").alias("n"))
     sides = often.filter("n > 1").select(F.col("cls").alias("a"), F.col("cls").alias("b")).unionByName(both)
-    # classes are spread in blocks: each block of the right side against all of the left
-    blocks = often.select("cls", F.ceil(F.col("n") / 4096).cast("int").alias("nb"))
-    sides = sides.join(blocks.withColumnRenamed("cls", "b"), "b").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("a", "b", "k")
-    right = members.join(blocks, "cls").select(F.col("cls").alias("b"), F.expr("cast(pmod(xxhash64(row_id), nb) as int)").alias("k"), F.col("row_id").alias("row_id_b"))
-    left = members.select(F.col("cls").alias("a"), F.col("row_id").alias("row_id_a"))
-    return sides.join(right, ["b", "k"]).join(left, "a").filter("row_id_a < row_id_b").select("row_id_a", "row_id_b")
-
-
-def components(links: DataFrame, members: DataFrame, rounds: int = 50) -> DataFrame:
+    # copies of a class are spread over blocks, and each block of one side meets each of the other
+    blocks = often.select("cls", F.ceil(F.col("n") / block).cast("int").alias("nb"))
+    spread = members.join(blocks, "cls").select("cls", F.expr("cast(pmod(xxhash64(row_id), nb) as int)").alias("k"), "row_id")
+    numbered = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
+    for side in ("a", "b"):
+        sides = sides.join(blocks.withColumnRenamed("cls", side), side).withColumn(f"k_{side}", numbered).drop("nb")
+    right = spread.select(F.col("cls").alias("b"), F.col("k").alias("k_b"), F.col("row_id").alias("row_id_b"))
+    left = spread.select(F.col("cls").alias("a"), F.col("k").alias("k_a"), F.col("row_id").alias("row_id_a"))
+    return sides.join(right, ["b", "k_b"]).join(left, ["a", "k_a"]).filter("row_id_a < row_id_b").select("row_id_a", "row_id_b")
+
+
+def components(links: DataFrame, members: DataFrame) -> DataFrame:
     """row_id, group_id, links: each row's group (the least class number reachable) and its class's links.
 
-    Labels spread along links until none changes, written to the checkpoint folder
-    each round; near-same groups are shallow, so few rounds are needed.
+    Each round a class takes the least label among its neighbours and then the label
+    of the class it is named after, so labels travel ever longer steps; rounds go on,
+    each written to the checkpoint folder, until no label moves.
     """
-    edges = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     label = cut(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")))
-    for _ in range(rounds):
+    while True:
         spread = edges.join(label.select(F.col("a").alias("b"), F.col("label").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
-        after = cut(label.join(spread, "a").select("a", F.least("label", "other").alias("label"), (F.col("other") < F.col("label")).alias("moved")))
+        near = cut(label.join(spread, "a").select("a", "label", F.least("label", "other").alias("next")))
+        jumped = near.select("a", "label", "next").join(near.select(F.col("a").alias("next"), F.col("next").alias("far")), "next")
+        after = cut(jumped.select("a", F.col("far").alias("label"), (F.col("far") < F.col("label")).alias("moved")))
         label = after.select("a", "label")
         if after.filter("moved").isEmpty():
             break

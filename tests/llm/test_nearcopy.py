@@ -74,7 +74,7 @@ def test_large_buckets_are_split_and_none_dropped(spark):
     rows = corpus(120, 7)
     want = brute(rows)
     # every bucket of three or more is large, so all pairs come from deeper paths and blocks
-    got = found(spark, rows, small=2, enough=100, paths=12)
+    got = found(spark, rows, small=2, paths=12)
     assert got <= want and len(want - got) <= max(1, len(want) // 20)
 
 
@@ -113,3 +113,24 @@ def test_groups_are_components(spark):
     g = {r["row_id"]: (r["group_id"], r["links"]) for r in nearcopy.near_same_groups(df).collect()}
     assert g[1][0] == g[2][0] == g[3][0] != g[4][0] == g[5][0]
     assert g[2][1] == 2 and g[4][1] == 0
+
+
+def test_a_long_chain_is_one_group(spark):
+    links = spark.createDataFrame([(k, k + 1) for k in range(120)], "a long, b long")
+    members = spark.createDataFrame([(k, k) for k in range(122)], "row_id long, cls long")
+    g = {r["row_id"]: r["group_id"] for r in nearcopy.components(links, members).collect()}
+    assert {g[k] for k in range(121)} == {0} and g[121] == 121
+
+
+def test_a_run_in_every_text_neither_floods_a_task_nor_hides_pairs(spark):
+    boiler = "terms of use apply to all of this"
+    rnd = random.Random(8)
+    rows = [(k, f"{boiler} " + " ".join(f"w{rnd.randrange(10**6)}" for _ in range(14))) for k in range(700)]
+    rows += [(1000 + k, rows[k][1].rsplit(" ", 1)[0] + " other") for k in range(40)]
+    assert found(spark, rows, small=20) == brute(rows)
+
+
+def test_copies_beyond_a_block_pair_with_both_sides_cut(spark):
+    base = [f"h{k}" for k in range(40)]
+    rows = [(k, " ".join(base)) for k in range(25)] + [(100 + k, " ".join([*base, "end"])) for k in range(13)]
+    assert found(spark, rows, block=4) == brute(rows)
