@@ -1,12 +1,21 @@
 """Texts that their provider cut off.
 
-Near-copies are found by min-hash banding; each verified pair is aligned, and the
-copy whose alignment ends early, while the other goes on within the sentence, was
-cut. Texts without such a copy are scored by how they close: a terminal mark that
-no abbreviation explains is whole; an unfinished bracket, entity or ellipsis is
-cut; and an unterminated last line is a heading if texts end there as a rule, its
-terminality being the share of the segments beginning with these words that end
-with them, counted over the whole corpus.
+A text that closes with a plain end of a sentence is whole: nothing of its sentence
+is missing. Every other text is looked for in the others. Min-hash banding over
+windows finds them: each window of WINDOW runs of RUN words is a band whose key is
+the least hash of its runs, so a text that holds another's closing words has the
+band of these words too, however much of the rest differs or is missing. A pair
+with one key is verified on all words from the key to the end of the shorter text,
+then aligned: if the copy goes on within the word or sentence, the text was cut; if
+the copy ends a sentence or line there, it is whole; more distinct continuations
+decide.
+
+Texts without such a copy are scored by how they close. An ellipsis, an entity cut
+open, an unfinished bracket, an abbreviation's point: cut. A number and a point: by
+the share of such numbers after this word, over the corpus, that end there and do not
+go on as a decimal (after any word, where this one was never seen so). An unterminated last segment: by its terminality, the share of
+all segments beginning with these words that end with them; so headings are whole
+and broken sentences are not. List items, links and source lines are whole.
 """
 
 from __future__ import annotations
@@ -19,26 +28,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.nearcopy import AGREE, BROADCAST_IDS, SMALL, _blocks, _buckets, _parts
 from corpusloom.llm.sentences import NEVER
-from corpusloom.llm.shingles import mix, set_hashes, shingle_sets, sketches
-from corpusloom.sources.tables import cut
-
-#: Bands and rows: similarity 0.7 shares a band in 9 of 10 cases, 0.8 in 99 of 100, 0.1 in 1 of 8,000.
-BANDS, ROWS = 12, 5
-#: Longest last line taken for a heading, in characters, the terminality it needs, and in one of how many texts it must end (3 at least).
-HEADING, TERMINAL, RARE = 60, 0.5, 10_000
+from corpusloom.llm.shingles import mix, words
+from corpusloom.sources.tables import broadcast_if_small, cut, stored
+
+#: Words of a run and runs of a window: closing words that a copy must share are at most RUN + WINDOW - 1.
+RUN, WINDOW = 6, 8
+#: Last words left out of the verified run: one may be a fragment, one an appended mark.
+LOOSE = 2
+#: Characters kept of what follows in the copy.
+AFTER = 120
+#: Longest last line taken for a heading, in characters, the terminality it needs, and its least number of ends in texts that differ before it.
+HEADING, TERMINAL, SEEN = 60, 0.5, 3
+#: Lengths of the beginnings on which segments are joined.
+LADDER = (4, 8, 16, 32)
 WHOLE, CUT, OPEN = 0, 1, 2
+#: Texts worked on at once.
+STEP = 2000
 
 _MARKS = re.compile(r"(?:\.{2,}|…|\[\s*(?:\.{3}|…)\s*\]|�|&#?\w{0,7})$")
 _DONE = re.compile(r"[.!?。！？।؟][\"”“»’')\]]*$")
 _SEGMENT = re.compile(r"(?:[.!?…。！？][\"”»’)\]]*|\[\.\.\.\])\s+(?=[^\sa-z])|\n+")
-_NEEDS_MORE = re.compile(r"(?:reached|fell from|difference of|changed by|ratio(?: for [\w\s'-]{3,40})? was|of|razón de|rapport de|Quotienten von|Werte von|valeur de|valor de|varió un|variait de|Anteil der Abbrüche um|Rund|Cerca del|Environ)\s\d{1,3}[.,]$")
+_NUMBER_END = re.compile(r"([^\W\d_]+)\W{1,3}\d{1,3}\.$")
+_NUMBER = re.compile(r"([^\W\d_]+)\W{1,3}\d{1,3}\.(\d|\s)")
 _LINES = re.compile(r"^(?:[-•*–]\s+\S.*|\d{1,2}[.)]\s+\S.*|(?:source|quelle|fuente|fonte|src)\s*:\s?\S.*\d{4}|[—–]\s*\S.*(?:newsroom|press office|redaktion|desk|agency)|.*(?:https?://|www\.)\S+|.*\b[\w-]+(?:\.[\w-]+)+/\S+)$", re.I)
 
 
 def closing(text: str | None) -> tuple[int, str]:
-    """(verdict, last segment): WHOLE, CUT, or OPEN where copies and the corpus decide.
+    """(verdict, last segment): WHOLE at a plain end of a sentence; CUT, or OPEN where the corpus decides, if no copy says more.
 
     None and blank texts are WHOLE: nothing of them was cut.
     """
@@ -56,8 +73,8 @@ def closing(text: str | None) -> tuple[int, str]:
                 return CUT, ""
             if len(word) == 1 and word.isalpha() and word.isupper() and not re.search(r"(?:\d|vitamin[ea]?)[\s  ]*\w$", before, re.I):
                 return CUT, ""
-            if _NEEDS_MORE.search(t[-60:]):
-                return (CUT if re.search(r"\bof 1\.$|\b0\.$", t) else OPEN), t[-60:]
+            if (n := _NUMBER_END.search(t[-60:])) and m[0] == ".":  # the rest of a decimal may be missing
+                return OPEN, f"\0number {n[1].lower()}|"
         if t.count("“") > t.count("”") and "“" in t[-200:] and m[0][-1] not in "”\"":
             return OPEN, ""
         return WHOLE, ""
@@ -76,175 +93,219 @@ def closing(text: str | None) -> tuple[int, str]:
     return OPEN, segment if len(segment) <= HEADING else ""
 
 
-def cut_by_copy(text: str, other: str) -> int:
-    """CUT if `other` goes on within the sentence where `text` ends; WHOLE if it ends a sentence there; OPEN if they don't align."""
-    word = re.compile(r"\w+")
-    a = [m.group().lower() for m in word.finditer(text)][-40:]
-    spans = list(word.finditer(other))
-    b = [m.group().lower() for m in spans]
-    if len(a) < 8:
+_WORD = re.compile(r"[^\W_]+")
+
+
+def aligned(rest: str, other: str) -> int:
+    """`rest` ends a text, `other` is what a copy has in its place: CUT if the copy goes on within the word or
+    sentence; WHOLE if it ends a sentence or line there; OPEN if the two differ or neither goes on."""
+    marked = bool(_MARKS.search(rest.rstrip()[-12:]))
+    own = list(_WORD.finditer(rest.lower()))
+    theirs = list(_WORD.finditer(other.lower()))
+    if not own or len(theirs) < len(own):
         return OPEN
-    for loose in range(4):  # the last words may be a fragment or an appended mark
-        tail = a[len(a) - 6 - loose : len(a) - loose]
-        at = [k for k in range(len(b) - 5) if b[k : k + 6] == tail]
-        if not at:
-            continue
-        end = at[-1] + 6
-        rest = b[end:]
-        if not rest:
-            return OPEN if loose == 0 else WHOLE
-        between = other[spans[end - 1].end() : spans[end].start()]
-        own = a[len(a) - loose :]
-        if loose == 0:
-            if re.search(r"[.!?…]\s", between) or "\n" in between:
-                return WHOLE
-            ended = re.search(r"(\W*)$", text.rstrip())[1]
-            if re.search(r"[.!?]", ended) and not (re.fullmatch(r"[.,]", between) and rest[0].isdigit()):
-                return WHOLE
-            return CUT
-        if loose == 1 and rest[0].startswith(own[0]) and rest[0] != own[0]:
-            return CUT
-        if re.search(r"[.!?…]\s", between):
+    for x, y in zip(own[:-1], theirs, strict=False):
+        if x[0] != y[0] or ("\n" in rest[: x.start()]) != ("\n" in other[: y.start()]):
             return OPEN
-        return CUT if loose <= 2 else OPEN
-    return OPEN
-
-
-def _bands(bands: int, rows: int, small: int):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: dict[int, int] = {}
-        done: set[int] = set()
-        for batch in _parts(batches):
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            value, offsets = shingle_sets(texts)
-            own = set_hashes(value, offsets, texts)
-            fresh = np.fromiter((c not in done and not done.add(c) for c in own.tolist()), bool, len(own))
-            n, k = len(texts), bands * rows
-            h = mix(value ^ np.uint64(0xD6E8FEB86659FD93))
-            least = np.full(n * k, np.iinfo(np.uint64).max, np.uint64)
-            np.minimum.at(least, np.repeat(np.arange(n), np.diff(offsets)) * k + (h % np.uint64(k)).astype(np.int64), h)
-            least = least.reshape(n, k)
-            for _ in range(k):  # an empty bin takes its neighbour's minimum
-                empty = least == np.iinfo(np.uint64).max
-                if not empty.any():
-                    break
-                least = np.where(empty, np.roll(least, 1, axis=1) + np.uint64(0x9E3779B9) * (np.roll(least, 1, axis=1) != np.iinfo(np.uint64).max), least)
-            key = np.zeros((n, bands), np.uint64)
-            for r in range(rows):
-                key = mix(key + least[:, r::rows] + np.uint64(r))
-            key = mix(key + np.arange(bands, dtype=np.uint64)).astype(np.int64)
-            keep = fresh & (np.diff(offsets) > 0)
-            sketch = sketches(value, offsets)[keep]
-            key, cls = key[keep].ravel(), np.repeat(own[keep], bands)
-            over = np.zeros(len(key), bool)
-            for i, t in enumerate(key.tolist()):
-                c = sent.get(t, 0)
-                over[i] = c > small
-                sent[t] = c + 1
-            if len(sent) > 2_000_000:
-                sent = {t: c for t, c in sent.items() if c > 1}
+    x, y = own[-1], theirs[len(own) - 1]
+    if ("\n" in rest[: x.start()]) != ("\n" in other[: y.start()]):
+        return OPEN
+    if x[0] != y[0]:
+        return CUT if y[0].startswith(x[0]) and not rest[x.end() :].strip(" .…[]-") else OPEN
+    after, close = other[y.end() :], rest[x.end() :].strip()
+    if len(other) < AFTER and not _WORD.search(after):  # the copy's own end, which may be cut alike
+        return OPEN
+    if marked:
+        return WHOLE if _MARKS.match(after.strip()[:3]) else CUT
+    ended = re.search(r"[.!?。！？।]", close)
+    if re.match(r"[\"”»’)\]]*[.!?。！？।](?!\d)[\"”»’)\]]*(?:\s|$)", after):
+        return WHOLE if ended else CUT  # a lost full stop is a lost end
+    if re.match(r"[^\S\n]*\n", after):
+        return WHOLE
+    return WHOLE if ended and not re.match(r"[.,]\d", after) else CUT
+
+
+def _bands(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word hashes, first word of each text, run hashes, first words of the bands' least runs, their texts)."""
+    word, doc = words(texts)
+    first = np.searchsorted(doc, np.arange(len(texts) + 1))
+    n = len(word) - RUN + 1
+    if n < WINDOW:
+        return word, first, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    run = np.zeros(n, np.uint64)
+    for k in range(RUN):
+        run = mix(run + word[k : n + k] + np.uint64(k + 1))
+    view = np.lib.stride_tricks.sliding_window_view(run, WINDOW)
+    inside = doc[: len(view)] == doc[RUN + WINDOW - 2 :]
+    at = np.unique((view.argmin(axis=1) + np.arange(len(view)))[inside])
+    return word, first, run, at, doc[at]
+
+
+def _prefix_hashes(word: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For the runs that begin at `at`, hashes of their first RUN, RUN + 1, ... words, one column each."""
+    out, h = [], np.zeros(len(at), np.uint64)
+    for k in range(RUN + WINDOW - 1):
+        h = mix(h + word[np.minimum(at + k, len(word) - 1)] + np.uint64(k + 7))
+        if k >= RUN - 1:
+            out.append(h)
+    return np.stack(out, 1).astype(np.int64)
+
+
+def _places(text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in _WORD.finditer(text)]
+
+
+def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every row's bands; of rows that may be cut also verdict, segment, and the band, hash and rest of their closing words."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, STEP):
+            part = batch.slice(lo, STEP)
+            texts = [t or "" for t in part.column(1).to_pylist()]
+            found = [closing(t) for t in texts]
+            word, first, run, at, owner = _bands(texts)
+            ends = np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)
+            bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(run[at].astype(np.int64)))
+            key, tail, rest = [None] * len(texts), [None] * len(texts), [None] * len(texts)
+            for i, (verdict, _) in enumerate(found):
+                last = first[i + 1] - LOOSE - RUN  # the last run that leaves the loose words out
+                if verdict == WHOLE or last - WINDOW + 1 < first[i]:
+                    continue
+                begin = last - WINDOW + 1 + int(run[last - WINDOW + 1 : last + 1].argmin())
+                length = last + RUN - begin
+                spans = _places(texts[i])
+                if len(spans) != first[i + 1] - first[i]:
+                    continue
+                key[i] = int(run[begin].astype(np.int64))
+                tail[i] = int(_prefix_hashes(word, np.array([begin]))[0, length - RUN])
+                rest[i] = texts[i].rstrip()[spans[-LOOSE - 1][1] :]
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(x) for x in (key, cls, np.repeat(sketch[:, 0], bands), np.repeat(sketch[:, 1], bands), np.full(len(key), bands), over))], names=["path", "cls", "s1", "s2", "n", "over"]
-            )
-
-    return work
-
-
-def banded_pairs(texts: DataFrame, bands: int = BANDS, rows: int = ROWS, small: int = SMALL, agree: int = AGREE) -> DataFrame:
-    """Candidate class pairs that share a band; large buckets are compared in blocks."""
-    made = texts.mapInArrow(_bands(bands, rows, small), "path long, cls long, s1 long, s2 long, n long, over boolean")
-    split = cut(made.repartition("path").sortWithinPartitions("path", F.desc("over")).mapInArrow(_buckets(small, agree), "a long, b long, path long, s1 long, s2 long, n long").distinct())
-    large = split.filter("b is null").select("path", F.col("a").alias("cls"), "s1", "s2").distinct()
-    pairs = split.filter("b is not null").select("a", "b")
-    return pairs.unionByName(_blocks(large, small, agree)).distinct()
-
-
-def _closings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _parts(batches):
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        found = [closing(t) for t in texts]
-        value, offsets = shingle_sets(texts)
-        own = set_hashes(value, offsets, texts)
-        keep = np.array([v != WHOLE for v, _ in found])
-        out = pa.RecordBatch.from_arrays(
-            [
-                batch.column(0), pa.array(own), pa.array([v for v, _ in found], pa.int32()), pa.array([s for _, s in found], pa.string()),
-                pa.array([t[-400:] if v == OPEN else None for t, (v, _) in zip(texts, found, strict=True)], pa.string()),
-            ],
-            names=["row_id", "cls", "verdict", "segment", "tail"],
-        )
-        yield out.filter(pa.array(keep))
-
-
-def _class_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _parts(batches):
-        texts = [t or "" for t in batch.column(0).to_pylist()]
-        value, offsets = shingle_sets(texts)
-        yield pa.RecordBatch.from_arrays([pa.array(set_hashes(value, offsets, texts)), pa.array(texts, pa.string())], names=["cls", "text"])
-
-
-def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                [
+                    part.column(0), pa.array([v for v, _ in found], pa.int32()), pa.array([g for _, g in found], pa.string()),
+                    pa.array(key, pa.int64()), pa.array(tail, pa.int64()), pa.array(rest, pa.string()), bands,
+                ],
+                names=["row_id", "verdict", "segment", "band", "tail", "rest", "bands"],
+            )
+
+
+def _continuations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(band, tail, other): for every band of a text, each closing run it may verify and what follows there."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, STEP):
+            texts = [t or "" for t in batch.column(0).slice(lo, STEP).to_pylist()]
+            word, first, run, at, owner = _bands(texts)
+            if not len(at):
+                continue
+            hashes = _prefix_hashes(word, at)
+            bands, tails, others = [], [], []
+            places: dict[int, list[tuple[int, int]]] = {}
+            for k, (begin, i) in enumerate(zip(at.tolist(), owner.tolist(), strict=True)):
+                spans = places.setdefault(i, _places(texts[i])) if i not in places else places[i]
+                if len(spans) != first[i + 1] - first[i]:
+                    continue
+                for c in range(WINDOW):
+                    end = begin - first[i] + RUN + c  # words of the text up to here are verified
+                    if end < len(spans):
+                        stop = spans[end - 1][1]
+                        bands.append(int(run[begin].astype(np.int64)))
+                        tails.append(int(hashes[k, c]))
+                        others.append(texts[i][stop : stop + AFTER])
+            yield pa.RecordBatch.from_arrays([pa.array(bands, pa.int64()), pa.array(tails, pa.int64()), pa.array(others, pa.string())], names=["band", "tail", "other"])
+
+
+def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        verdict = [cut_by_copy(t, o) for t, o in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(verdict, pa.int32())], names=["row_id", "copy"])
+        verdict = [aligned(r, o) for r, o in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(verdict, pa.int32())], names=["row_id", "vote"])
+
+
+def copy_votes(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """row_id, cuts, ends: of the rows that may be cut, how many distinct continuations in other texts go on, or end there.
+
+    Only texts that hold a wanted band are read again. Equal continuations of one
+    closing run count once, so a phrase that many texts share is one row a
+    continuation, not one a text.
+    """
+    tails = facts.filter("band is not null").select("row_id", "band", "tail", "rest")
+    bands = broadcast_if_small(tails.select("band").distinct())
+    holders = facts.select("row_id", F.explode("bands").alias("band")).join(bands, "band", "left_semi").select("row_id").distinct()
+    texts = rows.join(broadcast_if_small(cut(holders)), "row_id", "left_semi").select("text")
+    wanted = broadcast_if_small(tails.select("band", "tail").distinct())
+    others = texts.mapInArrow(_continuations, "band long, tail long, other string").join(wanted, ["band", "tail"], "left_semi").distinct()
+    votes = tails.join(others, ["band", "tail"]).select("row_id", "rest", "other").mapInArrow(_votes, "row_id long, vote int")
+    return votes.groupBy("row_id").agg(F.count_if(F.col("vote") == CUT).alias("cuts"), F.count_if(F.col("vote") == WHOLE).alias("ends"))
 
 
 def _segment_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments of a text: their first HEADING + 1 characters, and whether a text or line ends within them."""
+    """Segments of a text: their first HEADING + 1 characters, how often, and a hash of what stands before (least and greatest).
+
+    Numbers with a point come the same way, as '\0number word' with '.' if they end there.
+    """
+    import xxhash
+
     for batch in batches:
-        heads: dict[str, int] = {}
+        heads: dict[str, list[int]] = {}
         for text in batch.column(0).to_pylist():
             t = (text or "").rstrip()
-            starts = [0, *(m.end() for m in _SEGMENT.finditer(t))]
-            for s in starts:
-                head = t[s : s + HEADING + 1].split("\n", 1)[0]
+            own = xxhash.xxh64_intdigest(t) - (1 << 63)
+            seen = [t[s : s + HEADING + 1].split("\n", 1)[0] for s in (0, *(m.end() for m in _SEGMENT.finditer(t)))]
+            seen += [f"\0number {word}|{'.' if m[2].isspace() else ''}" for m in _NUMBER.finditer(t) for word in (m[1].lower(), "*")]
+            for head in seen:
                 if head:
-                    heads[head] = heads.get(head, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(heads), pa.string()), pa.array(list(heads.values()), pa.int64())], names=["head", "n"])
+                    held = heads.setdefault(head, [0, own, own])
+                    held[0] += 1
+                    held[1], held[2] = min(held[1], own), max(held[2], own)
+        n, lo, hi = zip(*heads.values(), strict=True) if heads else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(list(heads), pa.string()), *(pa.array(x, pa.int64()) for x in (n, lo, hi))], names=["head", "n", "lo", "hi"])
 
 
 def terminality(texts: DataFrame, segments: DataFrame) -> DataFrame:
-    """segment, terminality: of all segments that begin with these characters, the share that end with them.
+    """segment, terminality, ended, varied: of all segments that begin with these characters, the share that end with them.
 
-    `segments` (distinct strings) are joined to segment beginnings by their first
-    characters; a line's end counts as an end. Counts cover every text.
+    `segments` (distinct strings) are joined to segment beginnings by the longest of
+    the LADDER of beginnings that they fill; a line's end counts as an end. `varied`
+    says that what stands before the ends differs, so copies of one text alone make
+    no heading. '\0number word' is a number after that word. Counts cover every text.
     """
-    heads = texts.mapInArrow(_segment_starts, "head string, n long").groupBy("head").agg(F.sum("n").alias("n"))
-    key = 4
-    wanted = segments.filter(F.length("segment") >= key).withColumn("k", F.substring("segment", 1, key))
-    wanted = F.broadcast(wanted) if wanted.count() <= 20_000 else wanted
-    joined = heads.withColumn("k", F.substring("head", 1, key)).join(wanted, "k").filter(F.expr("startswith(head, segment)"))
-    counted = joined.groupBy("segment").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("head") == F.col("segment"), F.col("n")).otherwise(0)).alias("ended"))
-    return counted.select("segment", (F.col("ended") / F.col("all")).alias("terminality"), "ended")
+    heads = texts.mapInArrow(_segment_starts, "head string, n long, lo long, hi long").groupBy("head").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    rungs = F.array(*(F.lit(n) for n in LADDER))
+    fits = F.array_max(F.filter(rungs, lambda n: n <= F.length("segment")))
+    wanted = segments.filter(F.length("segment") >= LADDER[0]).withColumn("k", F.substring("segment", F.lit(1), fits)).select("segment", "k")
+    begins = heads.withColumn("k", F.explode(F.transform(F.filter(rungs, lambda n: n <= F.length("head")), lambda n: F.substring("head", F.lit(1), n))))
+    joined = begins.join(broadcast_if_small(wanted, 20_000), "k").filter(F.expr("startswith(head, segment)"))
+    end = F.col("head") == F.when(F.col("segment").startswith("\0number"), F.concat("segment", F.lit("."))).otherwise(F.col("segment"))
+    counted = joined.groupBy("segment").agg(
+        F.sum("n").alias("all"), F.sum(F.when(end, F.col("n")).otherwise(0)).alias("ended"), (F.min(F.when(end, F.col("lo"))) < F.max(F.when(end, F.col("hi")))).alias("varied")
+    )
+    return counted.select("segment", (F.col("ended") / F.col("all")).alias("terminality"), "ended", F.coalesce("varied", F.lit(False)).alias("varied"))
 
 
-def truncated(rows: DataFrame) -> DataFrame:
-    """row_id of rows whose text was cut. `rows`: row_id long, text string; nothing else is read.
+def judged(rows: DataFrame) -> DataFrame:
+    """row_id, cut, branch of every row that is not plainly whole; branch: 'copy', 'closing' or 'terminality' decided.
 
-    Null, empty and blank texts are whole; equal texts get one answer; texts of a
-    few words have no near-copy and are judged by their closing alone; an empty
-    table gives no row.
+    `rows`: row_id long, text string; nothing else is read. Rows without either have
+    no result; equal texts get one answer; texts of fewer than RUN + WINDOW + LOOSE - 1
+    words are judged by their closing alone; an empty table gives no row.
     """
     rows = rows.select(F.col("row_id").cast("long").alias("row_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull() & F.col("row_id").isNotNull())
-    judged = cut(rows.mapInArrow(_closings, "row_id long, cls long, verdict int, segment string, tail string"))
-    sure = judged.filter(F.col("verdict") == CUT).select("row_id")
-    unsure = judged.filter(F.col("verdict") == OPEN)
-    pairs = banded_pairs(rows.select("text"))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    links = cut(both.join(unsure.select(F.col("cls").alias("a")).distinct(), "a", "left_semi"))
-    ids = links.select(F.col("b").alias("cls")).distinct()
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    others = rows.select("text").mapInArrow(_class_text, "cls long, text string").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("text").alias("other"))
-    seen = links.join(others.withColumnRenamed("cls", "b"), "b").join(unsure.select(F.col("cls").alias("a"), "row_id", "tail"), "a").select("row_id", "tail", "other")
-    copies = seen.mapInArrow(_aligned, "row_id long, copy int").groupBy("row_id").agg(F.max(F.col("copy") == CUT).alias("by_copy"), F.max(F.col("copy") == WHOLE).alias("finished"))
-    share = terminality(rows.select("text"), unsure.filter("segment <> '' and segment not like concat(chr(0), '%')").select("segment").distinct())
-    line = F.col("segment").startswith("\0")
-    heading = (F.col("terminality") >= TERMINAL) & (F.col("ended") >= max(3, rows.count() // RARE))
-    numbers = F.col("segment").rlike(r"\d[.,]$")
-    alone = F.when(line | numbers, False).when(heading, False).otherwise(F.lit(True))
-    decided = unsure.join(copies, "row_id", "left").join(share, "segment", "left")
-    verdict = F.when(F.col("by_copy"), True).when(F.col("finished"), False).otherwise(F.coalesce(alone, F.lit(True)))
-    return sure.unionByName(decided.filter(verdict).select("row_id")).distinct()
+    facts = stored(rows.mapInArrow(_facts, "row_id long, verdict int, segment string, band long, tail long, rest string, bands array<long>"))
+    unsure = facts.filter(F.col("verdict") != WHOLE).select("row_id", "verdict", "segment")
+    votes = copy_votes(rows, facts)
+    asked = unsure.filter((F.col("verdict") == OPEN) & (F.col("segment") != "") & (F.col("segment") != "\0line")).select("segment").distinct()
+    numbers = F.col("segment").startswith("\0number")
+    share = cut(terminality(rows.select("text"), asked.unionByName(asked.filter(numbers).select(F.lit("\0number *|").alias("segment"))).distinct()))
+    anywhere = F.broadcast(share.filter(F.col("segment") == "\0number *|").select(F.lit(True).alias("numbered"), F.col("terminality").alias("anywhere")))  # one row
+    decided = unsure.withColumn("numbered", numbers).join(anywhere, "numbered", "left").join(votes, "row_id", "left").join(share, "segment", "left")
+    heading = (F.col("terminality") >= TERMINAL) & (F.col("ended") >= SEEN) & F.col("varied")
+    ends = F.coalesce("terminality", "anywhere", F.lit(1.0)) >= TERMINAL  # after a word never seen before a number: as after any word
+    alone = F.when(F.col("verdict") == CUT, True).when(F.col("segment") == "\0line", False).when(F.col("numbered"), ~ends).otherwise(~F.coalesce(heading, F.lit(False)))
+    by_copy = F.coalesce(F.col("cuts") != F.col("ends"), F.lit(False))
+    branch = F.when(by_copy, "copy").when(F.col("verdict") == CUT, "closing").otherwise("terminality")
+    return decided.select("row_id", F.when(by_copy, F.col("cuts") > F.col("ends")).otherwise(alone).alias("cut"), branch.alias("branch"))
+
+
+def truncated(rows: DataFrame) -> DataFrame:
+    """row_id of rows whose text was cut; null, empty and blank texts are whole. See `judged`."""
+    return judged(rows).filter("cut").select("row_id").distinct()
 
 
 def p6_found(chunks: DataFrame) -> DataFrame:
