@@ -29,6 +29,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text number) of every run of letters and digits of the texts in lower case."""
+    return word_spans(texts)[:2]
+
+
+def word_spans(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text number, start, end) of every run of letters and digits; offsets are into the text in lower case."""
     joined = "\0".join(t.lower() for t in texts)
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     inside = np.r_[False, _word_table()[codes], False]
@@ -43,8 +48,10 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     back[0] = 1
     np.multiply.accumulate(back, out=back)
     hashes = mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64))
-    breaks = np.flatnonzero(codes == 0)
-    return hashes, np.searchsorted(breaks, start)
+    breaks = np.cumsum([len(t.lower()) + 1 for t in texts]) if texts else np.zeros(0, np.int64)
+    doc = np.searchsorted(breaks, start, side="right")
+    first = np.r_[0, breaks][doc] if len(doc) else doc
+    return hashes, doc, start - first, end - first
 
 
 def shingle_sets(texts: list[str], size: int = 3) -> tuple[np.ndarray, np.ndarray]:

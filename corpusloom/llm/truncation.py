@@ -29,15 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.sentences import NEVER
-from corpusloom.llm.shingles import mix, words
+from corpusloom.llm.shingles import mix, word_spans
 from corpusloom.sources.tables import broadcast_if_small, cut, stored
 
 #: Words of a run and runs of a window: closing words that a copy must share are at most RUN + WINDOW - 1.
 RUN, WINDOW = 6, 8
 #: Last words left out of the verified run: one may be a fragment, one an appended mark.
 LOOSE = 2
-#: Characters kept of what follows in the copy.
-AFTER = 120
+#: What stands for the end of a text in what follows in a copy.
+END = "\x03"
 #: Longest last line taken for a heading, in characters, the terminality it needs, and its least number of ends in texts that differ before it.
 HEADING, TERMINAL, SEEN = 60, 0.5, 3
 #: Lengths of the beginnings on which segments are joined.
@@ -98,7 +98,7 @@ _WORD = re.compile(r"[^\W_]+")
 
 def aligned(rest: str, other: str) -> int:
     """`rest` ends a text, `other` is what a copy has in its place: CUT if the copy goes on within the word or
-    sentence; WHOLE if it ends a sentence or line there; OPEN if the two differ or neither goes on."""
+    sentence; WHOLE if it ends a sentence or line there; OPEN if the two differ or neither goes on (END in `other`)."""
     marked = bool(_MARKS.search(rest.rstrip()[-12:]))
     own = list(_WORD.finditer(rest.lower()))
     theirs = list(_WORD.finditer(other.lower()))
@@ -113,7 +113,7 @@ def aligned(rest: str, other: str) -> int:
     if x[0] != y[0]:
         return CUT if y[0].startswith(x[0]) and not rest[x.end() :].strip(" .…[]-") else OPEN
     after, close = other[y.end() :], rest[x.end() :].strip()
-    if len(other) < AFTER and not _WORD.search(after):  # the copy's own end, which may be cut alike
+    if END in after and not _WORD.search(after):  # the copy's own end, which may be cut alike
         return OPEN
     if marked:
         return WHOLE if _MARKS.match(after.strip()[:3]) else CUT
@@ -125,20 +125,42 @@ def aligned(rest: str, other: str) -> int:
     return WHOLE if ended and not re.match(r"[.,]\d", after) else CUT
 
 
-def _bands(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, first word of each text, run hashes, first words of the bands' least runs, their texts)."""
-    word, doc = words(texts)
-    first = np.searchsorted(doc, np.arange(len(texts) + 1))
-    n = len(word) - RUN + 1
-    if n < WINDOW:
-        return word, first, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    run = np.zeros(n, np.uint64)
-    for k in range(RUN):
-        run = mix(run + word[k : n + k] + np.uint64(k + 1))
-    view = np.lib.stride_tricks.sliding_window_view(run, WINDOW)
-    inside = doc[: len(view)] == doc[RUN + WINDOW - 2 :]
-    at = np.unique((view.argmin(axis=1) + np.arange(len(view)))[inside])
-    return word, first, run, at, doc[at]
+class Bands:
+    """Words, runs and bands of some texts: `at` are the first words of the bands' least runs, `owner` their texts."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.word, doc, self.start, self.stop = word_spans(texts)
+        self.first = np.searchsorted(doc, np.arange(len(texts) + 1))
+        self.shown = [t if len(t) == len(t.lower()) else t.lower() for t in texts]  # what offsets count in
+        n = max(0, len(self.word) - RUN + 1)
+        self.run = np.zeros(n, np.uint64)
+        for k in range(RUN):
+            self.run = mix(self.run + self.word[k : n + k] + np.uint64(k + 1))
+        self.at = self.owner = np.zeros(0, np.int64)
+        if n >= WINDOW:
+            view = np.lib.stride_tricks.sliding_window_view(self.run, WINDOW)
+            inside = doc[: len(view)] == doc[RUN + WINDOW - 2 :]
+            self.at = np.unique((view.argmin(axis=1) + np.arange(len(view)))[inside])
+            self.owner = doc[self.at]
+
+    def keys(self) -> np.ndarray:
+        return self.run[self.at].astype(np.int64)
+
+    def closing(self, i: int) -> tuple[int, int, str] | None:
+        """(band, hash of the verified words, rest) of the closing words of text i; None if it is too short."""
+        last = int(self.first[i + 1]) - LOOSE - RUN  # the last run that leaves the loose words out
+        if last - WINDOW + 1 < self.first[i]:
+            return None
+        begin = last - WINDOW + 1 + int(self.run[last - WINDOW + 1 : last + 1].argmin())
+        verified = _prefix_hashes(self.word, np.array([begin]))[0, last - begin]
+        return int(self.run[begin].astype(np.int64)), int(verified), self.shown[i].rstrip()[self.stop[self.first[i + 1] - LOOSE - 1] :]
+
+    def after(self, i: int, word: int) -> str:
+        """What follows `word` in its text i: one word more than are loose, and what stands up to the next."""
+        stop, ahead = int(self.stop[word]), word + LOOSE + 2
+        if ahead < self.first[i + 1]:
+            return self.shown[i][stop : int(self.start[ahead])]
+        return self.shown[i][stop:] + END
 
 
 def _prefix_hashes(word: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -151,10 +173,6 @@ def _prefix_hashes(word: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack(out, 1).astype(np.int64)
 
 
-def _places(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in _WORD.finditer(text)]
-
-
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every row's bands; of rows that may be cut also verdict, segment, and the band, hash and rest of their closing words."""
     for batch in batches:
@@ -162,54 +180,34 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(lo, STEP)
             texts = [t or "" for t in part.column(1).to_pylist()]
             found = [closing(t) for t in texts]
-            word, first, run, at, owner = _bands(texts)
-            ends = np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)
-            bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(run[at].astype(np.int64)))
-            key, tail, rest = [None] * len(texts), [None] * len(texts), [None] * len(texts)
-            for i, (verdict, _) in enumerate(found):
-                last = first[i + 1] - LOOSE - RUN  # the last run that leaves the loose words out
-                if verdict == WHOLE or last - WINDOW + 1 < first[i]:
-                    continue
-                begin = last - WINDOW + 1 + int(run[last - WINDOW + 1 : last + 1].argmin())
-                length = last + RUN - begin
-                spans = _places(texts[i])
-                if len(spans) != first[i + 1] - first[i]:
-                    continue
-                key[i] = int(run[begin].astype(np.int64))
-                tail[i] = int(_prefix_hashes(word, np.array([begin]))[0, length - RUN])
-                rest[i] = texts[i].rstrip()[spans[-LOOSE - 1][1] :]
+            b = Bands(texts)
+            ends = np.searchsorted(b.owner, np.arange(len(texts) + 1)).astype(np.int32)
+            tails = [(b.closing(i) if verdict != WHOLE else None) or (None, None, None) for i, (verdict, _) in enumerate(found)]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0), pa.array([v for v, _ in found], pa.int32()), pa.array([g for _, g in found], pa.string()),
-                    pa.array(key, pa.int64()), pa.array(tail, pa.int64()), pa.array(rest, pa.string()), bands,
+                    *(pa.array([t[k] for t in tails], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.string()))),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(b.keys())),
                 ],
                 names=["row_id", "verdict", "segment", "band", "tail", "rest", "bands"],
             )
 
 
 def _continuations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(band, tail, other): for every band of a text, each closing run it may verify and what follows there."""
+    """(band, tail, other): for every wanted band of a text, each closing run it may verify and what follows there."""
     for batch in batches:
         for lo in range(0, batch.num_rows, STEP):
-            texts = [t or "" for t in batch.column(0).slice(lo, STEP).to_pylist()]
-            word, first, run, at, owner = _bands(texts)
-            if not len(at):
-                continue
-            hashes = _prefix_hashes(word, at)
-            bands, tails, others = [], [], []
-            places: dict[int, list[tuple[int, int]]] = {}
-            for k, (begin, i) in enumerate(zip(at.tolist(), owner.tolist(), strict=True)):
-                spans = places.setdefault(i, _places(texts[i])) if i not in places else places[i]
-                if len(spans) != first[i + 1] - first[i]:
-                    continue
-                for c in range(WINDOW):
-                    end = begin - first[i] + RUN + c  # words of the text up to here are verified
-                    if end < len(spans):
-                        stop = spans[end - 1][1]
-                        bands.append(int(run[begin].astype(np.int64)))
-                        tails.append(int(hashes[k, c]))
-                        others.append(texts[i][stop : stop + AFTER])
-            yield pa.RecordBatch.from_arrays([pa.array(bands, pa.int64()), pa.array(tails, pa.int64()), pa.array(others, pa.string())], names=["band", "tail", "other"])
+            part = batch.slice(lo, STEP)
+            b = Bands([t or "" for t in part.column(0).to_pylist()])
+            wanted = [set(x) for x in part.column(1).to_pylist()]
+            keys = b.keys().tolist()
+            use = np.fromiter((k in wanted[i] for k, i in zip(keys, b.owner.tolist(), strict=True)), bool, len(keys))
+            at, owner = b.at[use], b.owner[use].tolist()
+            hashes = _prefix_hashes(b.word, at).tolist() if len(at) else []
+            ends = b.first[1:].tolist()
+            rows = [(int(b.run[begin].astype(np.int64)), h[c], b.after(i, begin + RUN + c - 1)) for begin, i, h in zip(at.tolist(), owner, hashes, strict=True) for c in range(WINDOW) if begin + RUN + c <= ends[i]]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True)], names=["band", "tail", "other"])
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,8 +225,8 @@ def copy_votes(rows: DataFrame, facts: DataFrame) -> DataFrame:
     """
     tails = facts.filter("band is not null").select("row_id", "band", "tail", "rest")
     bands = broadcast_if_small(tails.select("band").distinct())
-    holders = facts.select("row_id", F.explode("bands").alias("band")).join(bands, "band", "left_semi").select("row_id").distinct()
-    texts = rows.join(broadcast_if_small(cut(holders)), "row_id", "left_semi").select("text")
+    holders = facts.select("row_id", F.explode("bands").alias("band")).join(bands, "band", "left_semi").groupBy("row_id").agg(F.collect_set("band").alias("held"))
+    texts = rows.join(broadcast_if_small(stored(holders)), "row_id").select("text", "held")
     wanted = broadcast_if_small(tails.select("band", "tail").distinct())
     others = texts.mapInArrow(_continuations, "band long, tail long, other string").join(wanted, ["band", "tail"], "left_semi").distinct()
     votes = tails.join(others, ["band", "tail"]).select("row_id", "rest", "other").mapInArrow(_votes, "row_id long, vote int")
@@ -293,10 +291,10 @@ def judged(rows: DataFrame) -> DataFrame:
     asked = unsure.filter((F.col("verdict") == OPEN) & (F.col("segment") != "") & (F.col("segment") != "\0line")).select("segment").distinct()
     numbers = F.col("segment").startswith("\0number")
     share = cut(terminality(rows.select("text"), asked.unionByName(asked.filter(numbers).select(F.lit("\0number *|").alias("segment"))).distinct()))
-    anywhere = F.broadcast(share.filter(F.col("segment") == "\0number *|").select(F.lit(True).alias("numbered"), F.col("terminality").alias("anywhere")))  # one row
-    decided = unsure.withColumn("numbered", numbers).join(anywhere, "numbered", "left").join(votes, "row_id", "left").join(share, "segment", "left")
+    anywhere = share.filter(F.col("segment") == "\0number *|").first()  # one row
+    decided = unsure.withColumn("numbered", numbers).join(votes, "row_id", "left").join(share, "segment", "left")
     heading = (F.col("terminality") >= TERMINAL) & (F.col("ended") >= SEEN) & F.col("varied")
-    ends = F.coalesce("terminality", "anywhere", F.lit(1.0)) >= TERMINAL  # after a word never seen before a number: as after any word
+    ends = F.coalesce("terminality", F.lit(anywhere["terminality"] if anywhere else 1.0)) >= TERMINAL  # after a word never seen before a number: as after any word
     alone = F.when(F.col("verdict") == CUT, True).when(F.col("segment") == "\0line", False).when(F.col("numbered"), ~ends).otherwise(~F.coalesce(heading, F.lit(False)))
     by_copy = F.coalesce(F.col("cuts") != F.col("ends"), F.lit(False))
     branch = F.when(by_copy, "copy").when(F.col("verdict") == CUT, "closing").otherwise("terminality")

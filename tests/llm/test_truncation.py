@@ -30,7 +30,7 @@ def test_alignment():
     assert T.aligned(" reached 38.", " reached 38.5% in all, at") == T.CUT
     assert T.aligned(" of Titraex.", " of Titraex and the end came.") == T.WHOLE
     assert T.aligned(" reading vs.", " speed was low") == T.OPEN
-    assert T.aligned(" of Titraex vs.", " of Titraex vs.") == T.OPEN
+    assert T.aligned(" Titraex vs.", " Titraex vs." + T.END) == T.OPEN
     assert T.aligned("\n\nFurther reading", " Further reading of it shows") == T.OPEN
     assert T.aligned("", " more") == T.OPEN
 
