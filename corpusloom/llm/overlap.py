@@ -4,13 +4,8 @@ Records are normalised and cut where a rolling hash of the last characters says
 so, hence an edit changes only the chunks around it. Chunk digests are joined
 across splits and the lengths of shared chunks summed into overlap fractions.
 
-A digest of a common phrase would join everything with everything. A digest with
-at most BUCKET records on either side is a key by itself; of the others a record
-takes its RARE rarest and goes on with pairs of them, and where a pair is still
-frequent with triples, and so on, until every bucket is small or the record has
-no digest to add. So a record has a bounded number of keys, whatever its length,
-and candidates grow with the records, not with their square. What is frequent at
-the last step too is joined all the same.
+A digest of a common phrase would join everything with everything, so digests that
+are frequent on either side join only in combination (`blocking.rare_pairs`).
 
 Candidates that share at least LEAST of the shorter record are aligned word by
 word. What differs comes out as replacements (words of one record against words of
@@ -35,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.sources.tables import BROADCAST_ROWS, stored
+from corpusloom.llm.blocking import rare_pairs
+from corpusloom.sources.tables import broadcast_if_small, stored
 
 #: Characters of the rolling window, and one in how many places is a cut.
 WINDOW, MASK = 4, 8
@@ -164,14 +160,6 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out.filter(pa.array(keep, pa.bool_()))
 
 
-def _listed_keys(listed: DataFrame, frequent: DataFrame | None, size: int) -> DataFrame:
-    """rec, left, key: combinations of `size` of a record's frequent digests, each grown from a frequent one of a digest less."""
-    if frequent is None:
-        return listed.select("rec", "left", F.posexplode("d").alias("at", "digest")).select("rec", "left", "at", F.xxhash64("digest").alias("key"))
-    grown = frequent.join(listed.select("rec", "d"), "rec").withColumn("more", F.explode(F.expr("filter(sequence(0, size(d) - 1), i -> i > at)")))
-    return grown.select("rec", "left", F.col("more").alias("at"), F.xxhash64("key", F.expr("d[more]")).alias("key"))
-
-
 def chunk_pairs(records: DataFrame, train: str, held: list[str], least: float = LEAST, bucket: int = BUCKET, rare: int = RARE) -> DataFrame:
     """Candidates (rec_a, rec_b, shared, fraction_a, fraction_b) across splits.
 
@@ -183,30 +171,7 @@ def chunk_pairs(records: DataFrame, train: str, held: list[str], least: float =
     """
     sides = records.filter(F.col("split").isin(train, *held)).select("rec", "norm", (F.col("split") == train).alias("left"))
     chunks = stored(sides.select("rec", "norm", "left").mapInArrow(_chunks, "rec long, left boolean, digest long, length int"))
-    count = chunks.groupBy("digest").agg(F.count_if("left").alias("na"), F.count_if(~F.col("left")).alias("nb")).filter("na > 0 and nb > 0")
-    placed = stored(chunks.join(count, "digest").select("rec", "left", "digest", F.greatest("na", "nb").alias("often")))
-    small = placed.filter(F.col("often") <= bucket).select("rec", "left", F.xxhash64("digest").alias("key"))
-    # digests in one global order, rarest first, so that the same combination has the same key in either record
-    listed = placed.filter(F.col("often") > bucket).groupBy("rec", "left").agg(F.expr(f"slice(array_sort(collect_list(struct(often, digest))), 1, {rare})").alias("d"))
-    listed = stored(listed.select("rec", "left", F.expr("transform(d, x -> x.digest)").alias("d")))
-    keys, frequent = [small], None
-    for size in range(1, rare + 1):
-        made = _listed_keys(listed, frequent, size)
-        much = made.groupBy("key").agg(F.count_if("left").alias("na"), F.count_if(~F.col("left")).alias("nb")).filter("na > 0 and nb > 0")
-        split = stored(made.join(much.select("key", (F.greatest("na", "nb") > bucket).alias("large")), "key"))
-        frequent = split.filter("large").select("rec", "left", "at", "key")
-        if size > 1:
-            keys.append(split.filter("not large").select("rec", "left", "key"))
-        if frequent.isEmpty():
-            break
-    else:
-        keys.append(frequent.select("rec", "left", "key"))
-    every = keys[0]
-    for more in keys[1:]:
-        every = every.unionByName(more)
-    a = every.filter("left").select("key", F.col("rec").alias("rec_a"))
-    b = every.filter("not left").select("key", F.col("rec").alias("rec_b"))
-    pairs = stored(a.join(b, "key").select("rec_a", "rec_b").distinct())
+    pairs = stored(rare_pairs(chunks.select("rec", "left", F.col("digest").alias("token")), bucket, rare))
     sets = chunks.groupBy("rec").agg(F.collect_list(F.struct("digest", "length")).alias("c"))
     length = "aggregate({}, 0, (s, x) -> s + x.length)"
     return (
@@ -222,8 +187,7 @@ def _frequencies(records: DataFrame, terms: DataFrame) -> DataFrame:
     """term, df: in how many records each of the distinct `terms` (words and pairs of words) stands."""
     words = F.split("norm", " ")
     both = F.expr("concat(w, transform(filter(sequence(0, size(w) - 1), i -> i > 0), i -> concat(w[i - 1], ' ', w[i])))")
-    wanted = F.broadcast(terms) if terms.count() <= BROADCAST_ROWS else terms
-    return records.withColumn("w", words).select(F.explode(F.array_distinct(both)).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    return records.withColumn("w", words).select(F.explode(F.array_distinct(both)).alias("term")).join(broadcast_if_small(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
 
 
 def same_by_corpus(pairs: DataFrame, records: DataFrame, sure: float = SURE, z: float = Z, ratio: float = RATIO, few: int = FEW) -> DataFrame:
