@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from corpusloom.llm import sentences as S
@@ -52,18 +53,30 @@ def test_edges():
 
 
 def test_composition_is_associative_and_the_scan_exclusive():
-    rnd = random.Random(1)
-    fs = [[rnd.randrange(S.DEPTH + 1) for _ in range(S.DEPTH + 1)] for _ in range(9)]
-    assert S.compose(S.compose(fs[0], fs[1]), fs[2]) == S.compose(fs[0], S.compose(fs[1], fs[2]))
-    state = list(range(S.DEPTH + 1))
+    rnd = np.random.default_rng(1)
+    fs = [rnd.integers(0, 5, (len(S.KINDS), 5)) for _ in range(9)]
+    assert (S.compose(S.compose(fs[0], fs[1]), fs[2]) == S.compose(fs[0], S.compose(fs[1], fs[2]))).all()
+    whole = np.tile(np.arange(5), (len(S.KINDS), 1))
     for f, got in zip(fs, S.prefix_scan(fs), strict=True):
-        assert got == state
-        state = S.compose(state, f)
+        assert got == whole[:, 0].tolist()
+        whole = S.compose(whole, f)
+
+
+@pytest.mark.parametrize("times", [1, 5, 40, 1500])
+def test_a_quotation_is_one_unit_at_any_length(times):
+    said = "“" + "We stopped early. It was clear (or so we thought. Then). " * times + "That was all,” wrote the lead."
+    text = f"Before it. {said} After it."
+    assert cut(text) == cut(text, piece=500) == ["Before it.", said, "After it."]
+
+
+def test_numbered_items_far_apart_count_on():
+    text = "1. First item\n" + "a wrapped line of it\n" * 60 + "2. Second item\n3. Third"
+    assert len(cut(text)) == len(cut(text, piece=200)) == 3
 
 
 def test_pieces_give_what_one_pass_gives(spark):
     rnd = random.Random(7)
-    parts = ["“We stopped. It was clear,” wrote X.", "See Fig. 3 (in U.K. too. Yes).", "\n\n", "差别真大！！", "- item\n", " ", "One e.g. two. Three?", "‘No,’ he said."]
+    parts = ["“We stopped. It was clear,” wrote X.", "See Fig. 3 (in U.K. too. Yes).", "\n\n", "差别真大！！", "- item\n", " ", "One e.g. two. Three?", "‘No,’ he said.", "„Ja. Nein.“", "\"So. It. Is.\"", "“ open. And", "1. one\n2. two\n", "(a. “B. c” d.)"]
     texts = ["".join(rnd.choice(parts) + " " for _ in range(60)) for _ in range(12)]
     for t in texts:
         want = S.units(t, piece=10**9)
