@@ -22,7 +22,10 @@ def _duck_url(c: str) -> str:
     host = f"regexp_replace({place}, ':\\d*$', '')"
     net = f"CASE WHEN {port} = '' OR (lower({part(1)}) = 'http' AND {port} = '80') OR (lower({part(1)}) = 'https' AND {port} = '443') THEN {host} ELSE {host} || ':' || {port} END"
     path = f"CASE WHEN length({part(3)}) <= 1 THEN '/' ELSE regexp_replace({part(3)}, '/+$', '') END"
-    query = f"array_to_string(list_sort(list_transform(list_filter(string_split({part(4)}, '&'), lambda p: p <> '' AND lower(string_split(p, '=')[1]) NOT IN ({_TRACK})), lambda p: CASE WHEN contains(p, '=') THEN p ELSE p || '=' END)), '&')"
+    dec = lambda x: f"url_decode(replace({x}, '+', ' '))"
+    enc = lambda x: f"replace(url_encode({x}), '%20', '+')"
+    pairs = f"list_transform(list_filter(string_split({part(4)}, '&'), lambda p: p <> ''), lambda p: {{'k': {dec("string_split(p, '=')[1]")}, 'v': {dec("regexp_replace(p, '^[^=]*=?', '')")}}})"
+    query = f"array_to_string(list_transform(list_sort(list_filter({pairs}, lambda p: lower(p.k) NOT IN ({_TRACK}))), lambda p: {enc('p.k')} || '=' || {enc('p.v')}), '&')"
     return f"CASE WHEN {raw} = '' THEN '' WHEN {part(2)} <> '' THEN lower({part(1)}) || '://' || ({net}) || ({path}) || CASE WHEN {query} = '' THEN '' ELSE '?' || {query} END ELSE {raw} END"
 
 
@@ -35,18 +38,21 @@ def _duck_doi(c: str) -> str:
 
 def url_canonical(s: SparkSession, d: str) -> DataFrame:
     """web_key, canonical URL, host and fingerprint of each page address."""
-    return table(s, d, "web_results").select(
-        "web_key", "rank", I.canonical_url(F.col("url")).alias("canonical"), I.host_of(F.col("url")).alias("host"), I.url_fingerprint(F.col("url")).alias("url_hash")
-    )
+    w = table(s, d, "web_results").select("web_key", "rank", I.canonical_url(F.col("url")).alias("canonical"))
+    return w.select("web_key", "rank", "canonical", I.host_of_canonical(F.col("canonical")).alias("host"), F.sha2(F.regexp_replace("canonical", r"^http://", "https://"), 256).alias("url_hash"))
 
 
 def source_fingerprints(s: SparkSession, d: str) -> DataFrame:
-    """Fingerprints of both source kinds in one schema, with the stored ones beside them."""
+    """The fingerprint of each source: a page's is that of its URL, a paper's of DOI, URL or id; and which rule gives the stored one.
+
+    rule: 'url' or 'source' where that fingerprint is the stored one, null where
+    neither is (papers whose DOI was lost after they were stored).
+    """
     w = table(s, d, "web_results").select(F.lit("web").alias("kind"), F.col("web_key").alias("key"), "doi", "url", F.lit(None).cast("string").alias("external_id"), "fingerprint")
     p = table(s, d, "paper_records").select(F.lit("paper").alias("kind"), F.col("paper_key").alias("key"), "doi", "url", F.col("paper_id").alias("external_id"), "fingerprint")
-    both = w.unionByName(p)
-    made = I.source_fingerprint(F.col("doi"), F.col("url"), F.col("external_id"))
-    return both.select("kind", "key", made.alias("made"), (made == F.col("fingerprint")).alias("as_stored"))
+    both = w.unionByName(p).select("kind", "key", "fingerprint", I.url_fingerprint(F.col("url")).alias("u"), I.source_fingerprint(F.col("doi"), F.col("url"), F.col("external_id")).alias("x"))
+    rule = F.when(F.col("u") == F.col("fingerprint"), "url").when(F.col("x") == F.col("fingerprint"), "source")
+    return both.select("kind", "key", F.when(F.col("kind") == "web", F.col("u")).otherwise(F.col("x")).alias("made"), rule.alias("rule"))
 
 
 def doi_bare(s: SparkSession, d: str) -> DataFrame:
@@ -122,9 +128,10 @@ _LEADS = ", ".join(f"'{w}'" for w in X.LEADS)
 
 ORACLE = {
     "url_canonical": f"SELECT web_key, rank, canonical, regexp_extract(canonical, '^[^:]+://([^/:?]+)', 1) AS host, sha256({_BASIS.format('canonical')}) AS url_hash FROM (SELECT web_key, rank, {_duck_url('url')} AS canonical FROM web_results)",
-    "source_fingerprints": f"""SELECT kind, key, sha256({_KIND.format(_BASIS.format(_duck_url('url')))}) AS made, sha256({_KIND.format(_BASIS.format(_duck_url('url')))}) = fingerprint AS as_stored FROM (
+    "source_fingerprints": f"""SELECT kind, key, CASE WHEN kind = 'web' THEN u ELSE x END AS made, CASE WHEN u = fingerprint THEN 'url' WHEN x = fingerprint THEN 'source' END AS rule FROM (
+        SELECT kind, key, fingerprint, sha256({_BASIS.format(_duck_url('url'))}) AS u, sha256({_KIND.format(_BASIS.format(_duck_url('url')))}) AS x FROM (
         SELECT 'web' AS kind, web_key AS key, doi, url, CAST(NULL AS VARCHAR) AS external_id, fingerprint FROM web_results
-        UNION ALL SELECT 'paper', paper_key, doi, url, paper_id, fingerprint FROM paper_records)""",
+        UNION ALL SELECT 'paper', paper_key, doi, url, paper_id, fingerprint FROM paper_records))""",
     "doi_bare": f"SELECT key, {_duck_doi('doi')} AS bare FROM (SELECT web_key AS key, doi FROM web_results UNION ALL SELECT paper_key, doi FROM paper_records) WHERE doi IS NOT NULL",
     "paper_identity_keys": f"""SELECT DISTINCT paper_key, identity_key FROM (
         SELECT paper_key, fingerprint AS identity_key FROM paper_records WHERE fingerprint IS NOT NULL

@@ -27,9 +27,9 @@ def processed(s: SparkSession, d: str) -> DataFrame:
 
 def chunk_spans(s: SparkSession, d: str) -> DataFrame:
     """Chunks of cleaned documents: position and span, with the hash of the chunk's text."""
-    t = table(s, d, "documents").select("doc_id", X.clean("text").alias("text")).select("doc_id", "text", X.chunk(SIZE, OVERLAP)("text").alias("spans"))
-    t = t.select("doc_id", "text", F.posexplode("spans").alias("position", "span"))
-    return t.select("doc_id", "position", F.col("span.start").alias("start_char"), F.col("span.end").alias("end_char"), F.sha2(F.substring("text", F.col("span.start") + 1, F.col("span.end") - F.col("span.start")), 256).alias("chunk_hash"))
+    t = table(s, d, "documents").select("doc_id", X.chunk(SIZE, OVERLAP)(X.clean("text")).alias("spans"))
+    t = t.select("doc_id", F.posexplode("spans").alias("position", "span"))
+    return t.select("doc_id", "position", F.col("span.start").alias("start_char"), F.col("span.end").alias("end_char"), F.col("span.hash").alias("chunk_hash"))
 
 
 def simple_sentences(s: SparkSession, d: str) -> DataFrame:
