@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PLACES = 4
@@ -48,3 +48,28 @@ def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
+
+
+def is_hallucination(verdict: Column) -> Column:
+    """Whether a claim is unsupported or contradicted; unknown is neither."""
+    return F.coalesce(verdict.isin("unsupported", "contradicted"), F.lit(False))
+
+
+def unsupported_rate(verdict: Column) -> Column:
+    """The share of all claims, judged or not, that are unsupported or contradicted."""
+    return rate(is_hallucination(verdict))
+
+
+def is_ratio(metric: Column) -> Column:
+    """Whether a figure of this name is a share."""
+    return metric.rlike(r"_(?:rate|precision|recall|coverage)$")
+
+
+def compared(df: DataFrame, a: str, b: str, better: dict[str, str], name: str = "metric") -> DataFrame:
+    """`df` with difference and relative difference of two columns (null where the base is 0), and better, worse or equal by which way is better."""
+    up = F.lit(False)
+    for metric, way in better.items():
+        up = F.when(F.col(name) == metric, F.lit(way == "higher")).otherwise(up)
+    gap = F.round(F.col(a) - F.col(b), PLACES)
+    direction = F.when(gap == 0, "equal").when((F.col(a) > F.col(b)) == up, "better").when(gap.isNotNull(), "worse")
+    return df.select(name, a, b, gap.alias("difference"), F.round(F.try_divide(F.col(a) - F.col(b), F.col(b)), PLACES).alias("relative"), direction.alias("direction"))
