@@ -35,8 +35,8 @@ from corpusloom.sources.tables import broadcast_if_small, stored
 
 #: Characters of the rolling window, and one in how many places is a cut.
 WINDOW, MASK = 4, 8
-#: Records of one side up to which a key joins, and frequent digests of a record that are combined.
-BUCKET, RARE = 8, 6
+#: Pairs of records up to which a key joins, and frequent digests of a record that are combined.
+BUCKET, RARE = 64, 6
 #: Least share of the shorter record's length in common chunks.
 LEAST = 0.25
 #: Lower bound of the share of a replacement's records with a neighbour, its z, and how much more frequent one side must be.
@@ -165,8 +165,8 @@ def chunk_pairs(records: DataFrame, train: str, held: list[str], least: float =
 
     `records`: rec long (unique), split, norm. a is of `train`, b of `held`. A pair
     comes out if it shares a digest, or a combination of the `rare` rarest frequent
-    digests of either, that at most `bucket` records of each side have (or the
-    longest combination there is), and `least` of the shorter length. Empty texts
+    digests of either, with at most `bucket` pairs of records (or the longest
+    combination there is), and `least` of the shorter length. Empty texts
     have no chunk and no pair.
     """
     sides = records.filter(F.col("split").isin(train, *held)).select("rec", "norm", (F.col("split") == train).alias("left"))
