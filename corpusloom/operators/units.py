@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from decimal import Decimal
+from decimal import Context, Decimal
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -62,6 +62,8 @@ DIMENSION |= dict.fromkeys(["millimetres of mercury", "kilopascals"], "pressure"
 #: A larger unit and the smaller one that continues it in one amount ("5 ft 10 in").
 COMPOSED = {("pounds", "ounces"), ("feet", "inches"), ("kilograms", "grams"), ("litres", "millilitres"), ("kilometres", "metres"), ("metres", "centimetres")}
 
+#: Characters before a unit in which its number, in digits or words, is read.
+WINDOW = 240
 SPACE = " \u00a0\u202f\u2009"
 SCALES = {"thousand": 1000, "mil": 1000, "mille": 1000, "Tausend": 1000, "tausend": 1000, "million": 10**6, "millions": 10**6, "Millionen": 10**6, "millones": 10**6}
 FRACTIONS = {"½": "0.5", "¼": "0.25", "¾": "0.75", "⅓": "0.3333333333", "⅔": "0.6666666667", "⅛": "0.125", "⅜": "0.375", "⅝": "0.625", "⅞": "0.875", "⅕": "0.2", "⅖": "0.4", "⅗": "0.6", "⅘": "0.8"}
@@ -279,7 +281,7 @@ def amounts(text: str | None) -> list[tuple[str, Decimal, str | None, Decimal |
             gap -= 1
         if kind == "word" and not (gap and (calm[gap - 1].isalpha())):
             continue
-        window = calm[max(0, gap - 60) : gap]
+        window = calm[max(0, gap - WINDOW) : gap]
         m = NUMBER.search(window)
         lo, hi = sentence(start)
         comma = _language(calm[lo:hi]) != "en" if m else False
@@ -322,10 +324,11 @@ def amounts(text: str | None) -> list[tuple[str, Decimal, str | None, Decimal |
             lo, hi = sentence(start)
             if not DECLARES.search(calm[max(lo, start - 20) : start]) or re.search(r"\d", calm[lo:start]):
                 continue
+            # it holds for the sentences up to the next declaration or blank line
+            section = calm.find("\n\n", hi)
+            until = min([len(calm) if section < 0 else section, *(x[0] for x in labels if x[3] == "declared" and x[0] > stop)])
             at = hi
-            for _ in range(3):
-                if at >= len(calm):
-                    break
+            while at < until:
                 a, b = sentence(at)
                 body = calm[a:b]
                 if GOVERNED.search(body) and "%" not in body and not any(a <= o[0] < b for o in out):
@@ -338,9 +341,7 @@ def amounts(text: str | None) -> list[tuple[str, Decimal, str | None, Decimal |
                             got = []
                             break
                         got.append((n.start(), n.end(), unit, _ends(n[0], comma)))
-                    if got:
-                        out += got
-                        break
+                    out += got
                 if b <= at:
                     break
                 at = b
@@ -369,19 +370,20 @@ def _ends(text: str, comma: bool) -> list[Decimal]:
     return [number(x, comma) * scale for x in (m["lo"], m["hi"]) if x]
 
 
-_SCHEMA = "row_id long, unit string, value decimal(20,8), unit2 string, value2 decimal(20,8)"
+_SCHEMA = "row_id long, unit string, value decimal(38,8), unit2 string, value2 decimal(38,8)"
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind, limit, step = pa.decimal128(20, 8), Decimal(10) ** 11, Decimal("0.00000001")
+    kind, limit, step = pa.decimal128(38, 8), Decimal(10) ** 29, Decimal("0.00000001")
+    wide = Context(prec=60)
     names = ["row_id", "unit", "value", "unit2", "value2"]
     types = [pa.int64(), pa.string(), kind, pa.string(), kind]
     for batch in batches:
         rows = []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             for unit, value, unit2, value2 in amounts(text):
-                if abs(value) < limit:
-                    rows.append((key, unit, value.quantize(step), unit2, None if value2 is None else value2.quantize(step)))
+                if max(abs(value), abs(value2 or 0)) < limit:  # beyond it no unit's milli amount is a long
+                    rows.append((key, unit, value.quantize(step, context=wide), unit2, None if value2 is None else value2.quantize(step, context=wide)))
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
@@ -391,20 +393,19 @@ def stated_amounts(chunks: DataFrame, factors: DataFrame, key: str = "row_id", t
 
     amount_milli is 1000 times the value in the common unit, rounded half up. Null
     and empty texts, and texts without an amount, give no row; a null key is kept;
-    repeated rows give one. Only `key` and `text` are read, so further columns, of
+    repeated rows give one; an amount whose thousandfold is no long gives none. Only `key` and `text` are read, so further columns, of
     whatever name, do not matter. `factors` (dimension, unit, common_unit, factor,
     shift) is broadcast: a fixed table of a few dozen units.
     """
     small = F.broadcast(factors.select("unit", "dimension", "common_unit", F.col("factor").cast("decimal(17,8)").alias("f"), F.col("shift").cast("decimal(17,8)").alias("s")))
     rest = F.broadcast(factors.select(F.col("unit").alias("unit2"), F.col("factor").cast("decimal(17,8)").alias("f2")))
     found = chunks.select(F.col(key).cast("long").alias("row_id"), F.col(text).cast("string").alias("text")).filter(F.col("text").isNotNull() & (F.col("text") != "")).mapInArrow(_extract, _SCHEMA)
-    value = F.col("value") * F.col("f") + F.coalesce(F.col("value2") * F.col("f2"), F.lit(0).cast("decimal(37,16)")) + F.col("s")
-    return (
-        found.join(small, "unit")
-        .join(rest, "unit2", "left")
-        .select("row_id", "dimension", "unit", "common_unit", F.floor(value.cast("decimal(34,9)") * 1000 + F.expr("0.5BD")).cast("long").alias("amount_milli"))
-        .distinct()
-    )
+    exact = F.col("value").try_cast("decimal(20,8)") * F.col("f") + F.coalesce(F.col("value2").try_cast("decimal(20,8)") * F.col("f2"), F.lit(0).cast("decimal(37,16)")) + F.col("s")
+    large = F.col("value").try_cast("decimal(31,2)") * F.col("f").cast("decimal(15,8)") + F.coalesce(F.col("value2").try_cast("decimal(20,8)") * F.col("f2"), F.lit(0).cast("decimal(37,16)"))
+    milli = lambda x: F.floor(x.try_cast("decimal(34,9)") * 1000 + F.expr("0.5BD"))
+    amount = F.when(F.abs("value") < 10**11, milli(exact)).otherwise(F.floor(large.try_cast("decimal(32,3)") * 1000 + F.expr("0.5BD"))).try_cast("long")
+    joined = found.join(small, "unit").join(rest, "unit2", "left").select("row_id", "dimension", "unit", "common_unit", amount.alias("amount_milli"))
+    return joined.filter("amount_milli is not null").distinct()
 
 
 def p1_found(chunks: DataFrame, factors: DataFrame) -> DataFrame:

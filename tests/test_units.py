@@ -74,3 +74,15 @@ def test_conversion_rounding_nulls_and_clashing_columns(spark):
     got = {tuple(r) for r in units.p1_found(chunks, factors).collect()}
     assert got == {(1, "mass", 3), (2, "mass", round((4 * 453592.37 + 6 * 28349.523125) * 1000 + 1e-6)), (3, "temperature", 10000), (None, "mass", 1_000_000)}
     assert units.p1_found(chunks.filter("false"), factors).count() == 0
+
+
+def test_large_amounts_come_out(spark):
+    factors = spark.createDataFrame(FACTORS, "dimension string, unit string, common_unit string, factor double, shift double")
+    chunks = spark.createDataFrame([(1, "It held 1000000000000 mg of it."), (2, "It held 250,000,000,000 mg and 3 × 10^12 ug of it."), (3, "It held 4e35 mg of it."), (4, "It held 9e17 g of it.")], "row_id long, text string")
+    got = {tuple(r) for r in units.p1_found(chunks, factors).collect()}
+    assert got == {(1, "mass", 10**15), (2, "mass", 250_000_000_000_000), (2, "mass", 3 * 10**12)}
+
+
+def test_a_declared_unit_holds_to_the_end_of_its_section():
+    text = "Fluid volumes are reported in litres throughout. Controls drank 4 and the early arm 5. It was warm. Nobody knew why. It stayed so. The late arm drank 7 in all.\n\nThe others drank 9."
+    assert [(u, v) for u, v, _, _ in found(text)] == [("litres", 4), ("litres", 5), ("litres", 7)]
