@@ -3,10 +3,11 @@
 Three steps. (1) Each input partition is cut into runs sorted by group and
 order; a run keeps N rows of a group, which is all a merge can ever need of it,
 so a hot group shrinks before any shuffle. (2) Runs are stored by bucket of
-(group, salt): the shuffle sorts them by run, group and order, and a loser tree
-merges a bucket's runs, seeking each run to its next group after N outputs.
+(group, salt): the shuffle sorts them by group, run and order, and a loser tree
+merges the runs, seeking each run to its next group after N outputs.
 (3) The same merge without the salt joins what the salted merges left, at most N
-rows a group and salt. No task ever holds more than N rows of a group and run.
+rows a group and salt. A merge streams: it holds one batch, and of the group still
+open only its best N rows so far.
 """
 
 from __future__ import annotations
@@ -136,45 +137,60 @@ def _runs(group: str, order: list[tuple[str, str]], n: int, size: int):
     return form
 
 
+def _best(table: pa.Table, group: str, order: list[tuple[str, str]], n: int) -> tuple[pa.Table, list[int]]:
+    """The first n rows of each group of rows sorted by group, run and place in the run, in order, and their places."""
+    names = table.column(group).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    codes = np.cumsum(np.r_[0, names[1:] != names[:-1]])
+    run = table.column("_run").to_numpy()
+    by_run = np.argsort(run, kind="stable")  # within a run the groups stay in order
+    codes, run = codes[by_run], run[by_run]
+    columns = [codes.tolist()]
+    for name, way in order:
+        values = table.column(name).take(pa.array(by_run)).to_pylist()
+        sign = -1 if way == "descending" else 1
+        columns.append([(v is None, 0 if v is None else sign * v) for v in values])
+    keys = list(zip(*columns, strict=True))
+    cuts = [*np.flatnonzero(np.r_[True, run[1:] != run[:-1]]).tolist(), len(run)]
+    runs, ends = [], []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        runs.append(keys[a:b])
+        ends.append(np.searchsorted(codes[a:b], codes[a:b], side="right").tolist())
+    rows, places = [], []
+    for r, row, place in merge_top(runs, ends, n):
+        rows.append(int(by_run[cuts[r] + row]))
+        places.append(place)
+    return table.take(pa.array(rows, pa.int64())), places
+
+
 def _merge(group: str, order: list[tuple[str, str]], n: int, last: bool):
+    """Streams a bucket's runs, sorted by group: of the group still open only its best n rows so far are held."""
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held or not sum(b.num_rows for b in held):
-            return
-        table = pa.Table.from_batches(held).combine_chunks()
-        names = table.column(group).combine_chunks().dictionary_encode()
-        rank = np.empty(len(names.dictionary), np.int64)
-        rank[pc.sort_indices(names.dictionary).to_numpy()] = np.arange(len(names.dictionary))
-        codes = rank[names.indices.to_numpy(zero_copy_only=False)]
-        columns = [codes.tolist()]
-        for name, way in order:
-            values = table.column(name).to_pylist()
-            if way == "descending":
-                columns.append([(v is None, 0 if v is None else -v) for v in values])
-            else:
-                columns.append([(v is None, 0 if v is None else v) for v in values])
-        keys = list(zip(*columns, strict=True))
-        run = table.column("_run").to_numpy()
-        cuts = [*np.flatnonzero(np.r_[True, run[1:] != run[:-1]]).tolist(), len(run)]
-        runs, ends = [], []
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            runs.append(keys[a:b])
-            own = codes[a:b]
-            ends.append(np.searchsorted(own, own, side="right").tolist())
-        rows, places = [], []
-        for r, row, place in merge_top(runs, ends, n):
-            rows.append(cuts[r] + row)
-            places.append(place)
-        out = table.take(pa.array(rows, pa.int64()))
-        if last:
-            out = out.drop_columns(["_run", "_at"]).append_column("place", pa.array(places, pa.int32()))
-        else:
-            from pyspark import TaskContext
+        from pyspark import TaskContext
+
+        task, sent = TaskContext.get().partitionId(), 0
+        held: pa.Table | None = None
 
-            task = TaskContext.get().partitionId()
-            out = out.set_column(out.schema.get_field_index("_run"), "_run", pa.array(np.full(len(rows), task, np.int64)))
-            out = out.set_column(out.schema.get_field_index("_at"), "_at", pa.array(np.arange(len(rows), dtype=np.int64)))
-        yield from out.to_batches()
+        def emitted(table: pa.Table, places: list[int]) -> list[pa.RecordBatch]:
+            nonlocal sent
+            table = table.drop_columns(["_run", "_at"])
+            if last:
+                return table.append_column("place", pa.array(places, pa.int32())).to_batches()
+            at = np.arange(sent, sent + table.num_rows, dtype=np.int64)
+            sent += table.num_rows
+            return table.append_column("_run", pa.array(np.full(table.num_rows, task, np.int64))).append_column("_at", pa.array(at)).to_batches()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fresh = pa.Table.from_batches([batch])
+            best, places = _best(fresh if held is None else pa.concat_tables([held, fresh]), group, order, n)
+            closed = best.num_rows - places[-1]  # the places of the last group count its rows
+            yield from emitted(best.slice(0, closed), places[:closed])
+            held = best.slice(closed)
+            held = held.set_column(held.schema.get_field_index("_run"), "_run", pa.array(np.full(held.num_rows, -1, np.int64))).combine_chunks()
+        if held is not None:
+            yield from emitted(held, list(range(1, held.num_rows + 1)))
 
     return merge
 
@@ -196,9 +212,9 @@ def top_n(df: DataFrame, group: str, order: list[tuple[str, str]], n: int, run_r
         rows = rows.filter(~F.isnan(score))
     schema = T.StructType([*rows.schema.fields, T.StructField("_run", T.LongType()), T.StructField("_at", T.LongType())])
     runs = rows.mapInArrow(_runs(group, order, n, run_rows), schema)
-    salted = runs.repartition(F.col(group), F.col("_run") % salts).sortWithinPartitions("_run", "_at").mapInArrow(_merge(group, order, n, False), schema)
+    salted = runs.repartition(F.col(group), F.col("_run") % salts).sortWithinPartitions(group, "_run", "_at").mapInArrow(_merge(group, order, n, False), schema)
     final = T.StructType([*rows.schema.fields, T.StructField("place", T.IntegerType())])
-    return salted.repartition(F.col(group)).sortWithinPartitions("_run", "_at").mapInArrow(_merge(group, order, n, True), final)
+    return salted.repartition(F.col(group)).sortWithinPartitions(group, "_run", "_at").mapInArrow(_merge(group, order, n, True), final)
 
 
 def chunk_ranking(chunks: DataFrame) -> DataFrame:

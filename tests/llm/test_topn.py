@@ -41,3 +41,17 @@ def test_repeated_rows_count_as_rows_and_empty_gives_none(spark):
     df = spark.createDataFrame([("a", 1.0, 1, 1, "x")] * 3, SCHEMA)
     assert sorted(r["place"] for r in topn.top_n(df, "q", ORDER, 2).collect()) == [1, 2]
     assert topn.top_n(df.filter("false"), "q", ORDER, 2).count() == 0
+
+
+def test_merges_stream_over_small_batches(spark):
+    rnd = random.Random(9)
+    rows = [(rnd.choice(["hot", "hot", *[f"q{k}" for k in range(30)]]), rnd.choice([k / 3 for k in range(6)]), rnd.choice([None, 1, 2]), i, "x") for i in range(2000)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("1", "7", "100"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = topn.top_n(df.drop("place"), "q", ORDER, 5, run_rows=50, salts=3)
+            assert {(r["q"], r["place"], r["id"]) for r in got.collect()} == brute(rows, 5)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
