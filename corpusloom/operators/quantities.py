@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Share of a value by which an approximate one may be off.
-APPROXIMATE = 0.05
+# Fixed value: the share of a value by which an approximate one may be off.
+APPROXIMATE = 0.1
 
 
 def step_of(numeral: Column) -> Column:
@@ -22,34 +22,48 @@ def tolerance(value: Column, step: Column, approximate: Column) -> Column:
 
 
 def differ(a: Column, b: Column) -> Column:
-    """Whether two stated contexts (arrays, null: unstated) say different things; unknown never differs."""
-    return F.coalesce(~F.arrays_overlap(a, b) & (F.size(a) > 0) & (F.size(b) > 0), F.lit(False))
+    """Whether two stated contexts (sorted arrays, null: unstated) are not the same; unknown never differs."""
+    return F.coalesce(a != b, F.lit(False))
 
 
-def one_sided(a: Column, b: Column) -> Column:
-    """Whether only one side states a context."""
-    return a.isNull() != b.isNull()
+def denominators_differ(a: Column, b: Column) -> Column:
+    """Whether what two amounts are per has nothing in common, or is stated on one side only."""
+    return F.when(a.isNull() & b.isNull(), False).when(a.isNull() | b.isNull(), True).otherwise(~F.arrays_overlap(a, b))
 
 
-def pair_class(a: Column, b: Column) -> Column:
-    """The class of two amounts (structs of value, low, high, step, approximate, dimension, per, period, method):
+def periods_differ(a: Column, b: Column) -> Column:
+    """Whether two stated periods differ and can be compared: calendar with calendar, duration with duration."""
+    kind = lambda p: F.array_distinct(F.transform(p, lambda x: F.substring(x, 1, 1)))
+    return F.coalesce((a != b) & F.arrays_overlap(kind(a), kind(b)), F.lit(False))
+
 
-    different_measure, different_period, different_scope, agree, disagree, in this
-    order; unresolved where a value is unknown. A denominator stated on one side
-    only is a different measure; a period stated on one side only is unknown.
+def pair_class(a: Column, b: Column) -> Column:
+    """The class of two amounts: structs of value, low, high, step, approximate, dimension, unit, stated, and the facets.
+
+    The first of six rules that fires: different_measure (dimension, denominator, or
+    one number with different units), different_period (period, baseline),
+    different_scope (method, scope), agree (the values overlap within rounding,
+    approximation and range), disagree (only where period and scope are stated and
+    equal and baseline and method are stated on both sides or neither), unresolved.
+    A denominator stated on one side only is a different measure; any other context
+    stated on one side only is unknown. An unknown value is unresolved.
     """
-    gap = F.abs(a["value"] - b["value"])
     room = tolerance(a["value"], a["step"], a["approximate"]) + tolerance(b["value"], b["step"], b["approximate"])
     low = lambda x: F.coalesce(x["low"], x["value"])
     high = lambda x: F.coalesce(x["high"], x["value"])
     overlap = (low(a) - room <= high(b)) & (low(b) - room <= high(a))
+    same_number = (a["unit"] != b["unit"]) & (a["stated"] == b["stated"]) & (F.abs(a["value"] - b["value"]) > 1e-9 * F.greatest(F.abs(a["value"]), F.abs(b["value"])))
+    both = lambda n: a[n].isNotNull() & b[n].isNotNull()
+    settled = (a["baseline"].isNull() == b["baseline"].isNull()) & (a["method"].isNull() == b["method"].isNull())
+    known_unit = (a["dimension"] != "number") | a["per"].isNotNull()
     return (
-        F.when((a["dimension"] != b["dimension"]) | differ(a["per"], b["per"]) | one_sided(a["per"], b["per"]), "different_measure")
-        .when(differ(a["period"], b["period"]), "different_period")
-        .when(differ(a["method"], b["method"]), "different_scope")
-        .when(a["value"].isNull() | b["value"].isNull(), "unresolved")
-        .when(overlap | (gap <= room), "agree")
-        .otherwise("disagree")
+        F.when(a["value"].isNull() | b["value"].isNull(), "unresolved")
+        .when((a["dimension"] != b["dimension"]) | denominators_differ(a["per"], b["per"]) | same_number, "different_measure")
+        .when(periods_differ(a["period"], b["period"]) | differ(a["baseline"], b["baseline"]), "different_period")
+        .when(differ(a["method"], b["method"]) | differ(a["scope"], b["scope"]), "different_scope")
+        .when(overlap, "agree")
+        .when(known_unit & both("period") & (a["period"] == b["period"]) & both("scope") & settled, "disagree")
+        .otherwise("unresolved")
     )
 
 

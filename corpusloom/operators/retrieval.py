@@ -22,10 +22,14 @@ def top_k_similar(queries: DataFrame, items: DataFrame, k: int, query_block: int
     block (counted first) are broadcast and every task compares its items with all
     of them in one matrix product. More are cut into blocks, as the items are, and
     each pair of blocks is one comparison. Either way k rows of a query and
-    comparison are shuffled, not the pairs. Null vectors match nothing.
+    comparison are shuffled, not the pairs. Null vectors match nothing; vectors of
+    different widths are an error.
     """
     queries = queries.select(F.col("query_id").cast("long").alias("query_id"), "vector").filter("vector is not null")
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "vector").filter("vector is not null")
+    widths = [r["w"] for r in queries.select(F.size("vector").alias("w")).union(items.select(F.size("vector").alias("w"))).distinct().limit(2).collect()]
+    if len(widths) > 1:
+        raise ValueError(f"vectors of different widths: {sorted(widths)}")
     n = queries.count()
     if n <= query_block:
         rows = queries.collect()
@@ -42,9 +46,6 @@ def top_k_similar(queries: DataFrame, items: DataFrame, k: int, query_block: int
 
 
 def _best(queries: list[tuple[int, list[float]]], items: list[tuple[int, list[float]]], k: int) -> list[tuple[int, int, float]]:
-    width = len(queries[0][1]) if queries else 0
-    queries = [(i, v) for i, v in queries if len(v) == width]
-    items = [(i, v) for i, v in items if len(v) == width]
     if not queries or not items:
         return []
     q, m = np.array([v for _, v in queries], np.float64), np.array([v for _, v in items], np.float64)

@@ -187,8 +187,9 @@ def supplier_revenue(s: SparkSession, d: str) -> DataFrame:
 
 
 def order_gaps(s: SparkSession, d: str) -> DataFrame:
-    """Customers without an order, per segment."""
-    c = table(s, d, "customer").join(table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    """Customers without an urgent order, per segment."""
+    urgent = table(s, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    c = table(s, d, "customer").join(urgent, "c_custkey", "left_anti")
     return c.groupBy("c_mktsegment").agg(F.count("*").alias("customers"))
 
 
@@ -241,5 +242,5 @@ ORACLE = {
     "sampled_order": "SELECT question_id FROM (SELECT DISTINCT question_id FROM question_items) ORDER BY sha256(question_id) LIMIT 20",
     "supplier_revenue": """SELECT r_name, count(*) AS lines, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(count(*) FILTER (WHERE l_returnflag = 'R') / count(*), 4) AS returned
       FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1""",
-    "order_gaps": "SELECT c_mktsegment, count(*) AS customers FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) GROUP BY 1",
+    "order_gaps": "SELECT c_mktsegment, count(*) AS customers FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY 1",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.functions.identity import name_uuid
-from corpusloom.operators import dedup, quantities, retrieval, units
+from corpusloom.operators import dedup, facets, quantities, retrieval, units
 from corpusloom.sources.tables import table
 
 SIZE, OVERLAP = 1000, 150
@@ -47,12 +47,14 @@ def number_masks(s: SparkSession, d: str) -> DataFrame:
 def amount_conflicts(s: SparkSession, d: str) -> DataFrame:
     """Per dimension, amounts of a chunk against the nearest one of the next chunk of its document: how many agree."""
     a = units.p1_found(table(s, d, "pool_chunks"), table(s, d, "unit_factors"))
-    c = table(s, d, "pool_chunks").select("row_id", "document_id", "position").filter("document_id is not null and position is not null")
-    here = a.join(c, "row_id").select("document_id", "dimension", F.col("position").alias("place"), F.col("amount_milli").cast("double").alias("value"), F.col("row_id").alias("name"))
+    c = table(s, d, "pool_chunks").select("row_id", "document_id", "position", "text").filter("document_id is not null and position is not null")
+    c = c.withColumn("f", facets.facets(F.col("text"))).drop("text")
+    here = a.join(c.drop("f"), "row_id").select("document_id", "dimension", F.col("position").alias("place"), F.col("amount_milli").cast("double").alias("value"), F.col("row_id").alias("name"))
     there = here.withColumn("place", F.col("place") - 1)
     near = quantities.nearest(here, there, ["document_id", "dimension", "place"], "value", "name")
-    side = lambda v: F.struct(F.col(v).alias("value"), F.col(v).alias("low"), F.col(v).alias("high"), F.lit(1.0).alias("step"), F.lit(False).alias("approximate"), F.col("dimension").alias("dimension"), *[F.lit(None).cast("array<string>").alias(n) for n in ("per", "period", "method")])
-    return near.withColumn("class", quantities.pair_class(side("value"), side("other_value"))).groupBy("dimension", "class").agg(F.count("*").alias("pairs"))
+    near = near.join(c.select(F.col("row_id").alias("name"), F.col("f").alias("fa")), "name").join(c.select(F.col("row_id").alias("other_name"), F.col("f").alias("fb")), "other_name")
+    side = lambda v, f: F.struct(F.col(v).alias("value"), F.col(v).alias("low"), F.col(v).alias("high"), F.lit(1.0).alias("step"), F.lit(False).alias("approximate"), F.col("dimension").alias("dimension"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("string").alias("stated"), *[F.col(f)[n].alias(n) for n in ("period", "per", "baseline", "method", "scope")])
+    return near.withColumn("class", quantities.pair_class(side("value", "fa"), side("other_value", "fb"))).groupBy("dimension", "class").agg(F.count("*").alias("pairs"))
 
 
 def kept_papers(s: SparkSession, d: str) -> DataFrame:
@@ -78,6 +80,59 @@ def mmr_selection(s: SparkSession, d: str) -> DataFrame:
     return retrieval.mmr_per_query(full.select("query_id", "item_id", "query_vector", "vector", "similarity"), 5)
 
 
-QUERIES = {f.__name__: f for f in (processed, chunk_spans, simple_sentences, number_masks, amount_conflicts, kept_papers, merged_sources, mmr_selection)}
-
-ORACLE: dict[str, str] = {}
+def _shares(s: SparkSession, d: str) -> DataFrame:
+    """The first percentage of each English-style chunk, its step, whether it is approximate, and the chunk's facets."""
+    c = table(s, d, "pool_chunks").filter("document_id is not null and position is not null and text is not null").groupBy("document_id", "position").agg(F.min("text").alias("text"))
+    stated = F.regexp_extract("text", r"(\d+(?:\.\d+)?)%", 1)
+    near = F.regexp_like("text", F.lit(r"(?:about|around|roughly|nearly|approximately)\s\d+(?:\.\d+)?%"))
+    rows = c.select("document_id", "position", F.nullif(stated, F.lit("")).alias("stated"), near.alias("approximate"), facets.facets(F.col("text")).alias("f")).filter("stated is not null")
+    value = F.col("stated").cast("double")
+    return rows.select("document_id", "position", F.struct(
+        value.alias("value"), value.alias("low"), value.alias("high"), quantities.step_of(F.col("stated")).alias("step"), "approximate", F.lit("percent").alias("dimension"), F.lit("%").alias("unit"), "stated",
+        *[F.col("f")[n].alias(n) for n in ("period", "per", "baseline", "method", "scope")],
+    ).alias("m"))
+
+
+def share_conflicts(s: SparkSession, d: str) -> DataFrame:
+    """First percentages of neighbouring chunks of a document, by class of the pair."""
+    m = _shares(s, d)
+    j = m.select("document_id", "position", F.col("m").alias("a")).join(m.select("document_id", (F.col("position") - 1).alias("position"), F.col("m").alias("b")), ["document_id", "position"])
+    return j.groupBy(quantities.pair_class(F.col("a"), F.col("b")).alias("class")).agg(F.count("*").alias("pairs"))
+
+
+def chunk_contexts(s: SparkSession, d: str) -> DataFrame:
+    """The contexts that chunks state, kind:value, and how many chunks state each."""
+    t = table(s, d, "pool_chunks").filter("text is not null").select("row_id", F.explode(facets.context_tokens(facets.facets(F.col("text")))).alias("context"))
+    return t.groupBy("context").agg(F.count("*").alias("chunks"))
+
+
+QUERIES = {f.__name__: f for f in (share_conflicts, chunk_contexts, processed, chunk_spans, simple_sentences, number_masks, amount_conflicts, kept_papers, merged_sources, mmr_selection)}
+
+
+def _found(pattern: str, text: str = "lower(text)") -> str:
+    return f"regexp_extract_all({text}, '{pattern}', 1)"
+
+
+_SPANLESS = f"regexp_replace(lower(text), '{facets.SPANS}', ' ', 'g')"
+_PERIOD = f"""list_transform({_found(facets.SPANS)}, lambda x: 'y' || regexp_replace(x, '\\s?[-–]\\s?', '-')) || list_transform({_found(facets.YEARS, _SPANLESS)}, lambda x: 'y' || x)
+    || list_transform({_found(facets.DURATIONS)}, lambda x: 'd' || regexp_replace(regexp_replace(x, '\\s', '', 'g'), 's$', ''))"""
+_FACETS = {"period": _PERIOD, "per": _found(facets.PER), "baseline": _found(facets.BASELINE), "method": _found(facets.METHOD), "scope": _found(facets.SCOPE)}
+_LISTS = ", ".join(f"list_sort(list_distinct({v})) AS {k}_" for k, v in _FACETS.items())
+_NULLED = ", ".join(f"CASE WHEN len({k}_) > 0 THEN {k}_ END AS {k}" for k in _FACETS)
+_ROOM = "(a.step + b.step) / 2 + CASE WHEN a.near THEN 0.1 * a.v ELSE 0 END + CASE WHEN b.near THEN 0.1 * b.v ELSE 0 END"
+
+ORACLE: dict[str, str] = {
+    "chunk_contexts": f"""WITH f AS (SELECT {_LISTS} FROM pool_chunks WHERE text IS NOT NULL), t AS ({" UNION ALL ".join(f"SELECT '{k}:' || unnest({k}_) AS context FROM f" for k in _FACETS)}) SELECT context, count(*) AS chunks FROM t GROUP BY 1""",
+    "share_conflicts": f"""WITH c AS (SELECT document_id, position, min(text) AS text FROM pool_chunks WHERE document_id IS NOT NULL AND position IS NOT NULL AND text IS NOT NULL GROUP BY ALL),
+      l AS (SELECT document_id, position, nullif(regexp_extract(text, '(\\d+(?:\\.\\d+)?)%', 1), '') AS stated, regexp_matches(text, '(?:about|around|roughly|nearly|approximately)\\s\\d+(?:\\.\\d+)?%') AS near, {_LISTS} FROM c),
+      m AS (SELECT document_id, position, stated, near, CAST(stated AS DOUBLE) AS v, pow(10.0, -length(regexp_extract(stated, '[.,](\\d+)$', 1))) AS step, {_NULLED} FROM l WHERE stated IS NOT NULL),
+      k AS (SELECT CASE WHEN CASE WHEN a.per IS NULL AND b.per IS NULL THEN false WHEN a.per IS NULL OR b.per IS NULL THEN true ELSE NOT list_has_any(a.per, b.per) END THEN 'different_measure'
+          WHEN coalesce(a.period <> b.period AND list_has_any(list_transform(a.period, lambda x: x[1]), list_transform(b.period, lambda x: x[1])), false) OR coalesce(a.baseline <> b.baseline, false) THEN 'different_period'
+          WHEN coalesce(a.method <> b.method, false) OR coalesce(a.scope <> b.scope, false) THEN 'different_scope'
+          WHEN a.v - ({_ROOM}) <= b.v AND b.v - ({_ROOM}) <= a.v THEN 'agree'
+          WHEN a.period = b.period AND a.scope IS NOT NULL AND b.scope IS NOT NULL AND (a.baseline IS NULL) = (b.baseline IS NULL) AND (a.method IS NULL) = (b.method IS NULL) THEN 'disagree' ELSE 'unresolved' END AS class
+        FROM m a JOIN m b ON a.document_id = b.document_id AND b.position = a.position + 1) SELECT class, count(*) AS pairs FROM k GROUP BY 1""",
+    "simple_sentences_": """WITH c AS (SELECT row_id, list_filter(list_transform(string_split(regexp_replace(text, '((?:[^.!?]|^)[.!?])\\s+([A-Z(\\[])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s FROM pool_chunks) SELECT row_id, CAST(len(s) AS INTEGER) AS sentences, CAST(list_max(list_transform(s, lambda x: length(x))) AS INTEGER) AS longest FROM c""",
+    "number_masks": """WITH t AS (SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(lower(text), '[\\s\\x{00a0}\\x{2000}-\\x{200a}\\x{202f}\\x{3000}\\x{0085}\\x{2028}\\x{2029}\\x{000b}]+', ' ', 'g'), '^ | $', '', 'g'), '\\d+(?:[.,]\\d+)*', '#', 'g')) AS mask FROM documents WHERE text IS NOT NULL)
+      SELECT mask, count(*) AS documents, min(doc_id) AS least FROM t GROUP BY 1 HAVING count(*) > 1""",
+}

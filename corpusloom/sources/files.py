@@ -13,14 +13,16 @@ def canonical_json(*columns: Column | str) -> Column:
 
 
 def set_fingerprint(items: DataFrame, key: str) -> DataFrame:
-    """sha256, items: a hash of all rows in the order of `key`, columns in the order of their names.
+    """sha256, items: a hash of all rows, each as JSON with columns in the order of their names, in the order of `key`.
 
-    Rows are hashed first; what is gathered for the whole is 64 characters a row,
-    in the one order that makes it a fingerprint.
+    A hash tree: rows fall into 4,096 leaves by the hash of their key, a leaf hashes
+    its rows in order, the root the leaves, so no task holds all rows.
     """
     row = F.sha2(canonical_json(*sorted(items.columns)), 256)
-    hashed = items.select(F.col(key).cast("string").alias("k"), row.alias("h"))
-    return hashed.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), ""), 256).alias("sha256"), F.count("*").alias("items"))
+    hashed = items.select(F.col(key).cast("string").alias("k"), row.alias("h")).withColumn("leaf", F.substring(F.sha2(F.coalesce("k", F.lit("")), 256), 1, 3))
+    joined = lambda names: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*names))), lambda x: x["h"]), ""), 256)
+    leaves = hashed.groupBy("leaf").agg(joined(["k", "h"]).alias("h"), F.count("*").alias("n"))
+    return leaves.agg(joined(["leaf", "h"]).alias("sha256"), F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("items"))
 
 
 def load_set(spark: SparkSession, path: str, schema: str) -> DataFrame:

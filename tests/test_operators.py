@@ -84,15 +84,22 @@ def test_checks(spark):
     assert [(r["u"], r["s"]) for r in bad] == [("v", "done")]
 
 
-def _amount(value, per=None, period=None, approximate=False, dimension="mass"):
-    return (value, value, value, 1.0, approximate, dimension, per, period, None)
+def _amount(value, per=None, period=None, approximate=False, dimension="mass", unit="g", stated=None, baseline=None, method=None, scope=None):
+    return (value, value, value, 1.0, approximate, dimension, unit, stated, per, period, baseline, method, scope)
 
 
 @pytest.mark.parametrize(
     ("a", "b", "expected"),
     [
         (_amount(10.0), _amount(11.0), "agree"),
-        (_amount(10.0), _amount(13.0), "disagree"),
+        (_amount(10.0), _amount(13.0), "unresolved"),
+        (_amount(10.0, period=["y2010"], scope=["adults"]), _amount(13.0, period=["y2010"], scope=["adults"]), "disagree"),
+        (_amount(10.0, period=["y2010"], scope=["adults"], method=["trial"]), _amount(13.0, period=["y2010"], scope=["adults"]), "unresolved"),
+        (_amount(10.0, scope=["adults"]), _amount(10.0, scope=["men"]), "different_scope"),
+        (_amount(10.0, baseline=["placebo"]), _amount(10.0, baseline=["control"]), "different_period"),
+        (_amount(10.0, period=["y2010"]), _amount(10.0, period=["d5week"]), "agree"),
+        (_amount(10.0, unit="g", stated="10"), _amount(10000.0, unit="kg", stated="10"), "different_measure"),
+        (_amount(10.0, per=["day", "kg"]), _amount(10.0, per=["kg"]), "agree"),
         (_amount(100.0, approximate=True), _amount(105.0), "agree"),
         (_amount(10.0, per=["day"]), _amount(10.0), "different_measure"),
         (_amount(10.0, dimension="energy"), _amount(10.0), "different_measure"),
@@ -102,7 +109,7 @@ def _amount(value, per=None, period=None, approximate=False, dimension="mass"):
     ],
 )
 def test_pair_class(spark, a, b, expected):
-    t = "struct<value:double,low:double,high:double,step:double,approximate:boolean,dimension:string,per:array<string>,period:array<string>,method:array<string>>"
+    t = "struct<value:double,low:double,high:double,step:double,approximate:boolean,dimension:string,unit:string,stated:string,per:array<string>,period:array<string>,baseline:array<string>,method:array<string>,scope:array<string>>"
     df = spark.createDataFrame([(a, b)], f"a {t}, b {t}")
     assert df.select(quantities.pair_class(F.col("a"), F.col("b")).alias("c")).first()["c"] == expected
 
@@ -147,3 +154,27 @@ def test_streams_on_files(spark, tmp_path):
     assert sorted(r["event_id"] for r in run(E.first_only(E.read_events(spark, str(tmp_path / "in"))), "first")) == [1, 2, 3]
     slots = [r["slot"] for r in run(E.rate_limited(E.read_events(spark, str(tmp_path / "in")), 600.0), "slots")]
     assert len(slots) == 4 and sorted(slots)[1] - sorted(slots)[0] >= 600
+
+
+def test_vectors_of_different_widths_are_an_error(spark):
+    items = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0])], "item_id long, vector array<double>")
+    queries = spark.createDataFrame([(7, [1.0, 1.0])], "query_id long, vector array<double>")
+    with pytest.raises(ValueError, match="widths"):
+        retrieval.top_k_similar(queries, items, 3)
+
+
+def test_facets_of_a_text(spark):
+    from corpusloom.operators import facets
+
+    text = "In a trial from 2010–2015 and again in 2019, over 12 weeks, 5 mg per day against 7 mg/kg; lower than placebo in adults."
+    f = spark.createDataFrame([(text,), ("nothing",)], "t string").select(facets.facets(F.col("t")).alias("f")).select("f.*", facets.context_tokens(F.col("f")).alias("tokens")).collect()
+    assert f[0]["period"] == ["d12week", "y2010-2015", "y2019"] and f[0]["per"] == ["day", "kg"] and f[0]["baseline"] == ["placebo"] and f[0]["method"] == ["trial"] and f[0]["scope"] == ["adults"]
+    assert f[1]["period"] is None and f[1]["tokens"] == [] and "per:kg" in f[0]["tokens"]
+
+
+def test_a_set_s_fingerprint_does_not_depend_on_order_or_partitions(spark):
+    rows = [(f"k{i}", i) for i in range(300)]
+    a = files.set_fingerprint(spark.createDataFrame(rows, "id string, n int"), "id").first()
+    b = files.set_fingerprint(spark.createDataFrame(rows[::-1], "id string, n int").repartition(7), "id").first()
+    c = files.set_fingerprint(spark.createDataFrame(rows[1:], "id string, n int"), "id").first()
+    assert a == b and a["items"] == 300 and c["sha256"] != a["sha256"]
