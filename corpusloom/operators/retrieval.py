@@ -163,3 +163,45 @@ def greedy_leaders(vectors: list[list[float]], least: float, most: int) -> list[
         if not kept or float(np.max(m[kept] @ m[i])) < least:
             kept.append(i)
     return kept
+
+
+def pairs_above(df: DataFrame, group: str, key: str, vector: str, least: float, block: int = ITEM_BLOCK) -> DataFrame:
+    """group, a < b, similarity: pairs of a group whose cosine is `least` or more.
+
+    A group is cut into blocks of about `block` vectors by a hash of the key, and each
+    block meets each other once; only pairs that pass leave a comparison, and no
+    group is ever in one task. Null groups, keys and vectors have no pair.
+    """
+    rows = df.select(F.col(group).alias("g"), F.col(key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v")).filter("g is not null and k is not null and v is not null")
+    size = rows.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    own = rows.join(size, "g").withColumn("own", F.expr("cast(pmod(xxhash64(k), n) as int)")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    cells = own.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "k", "v")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
+
+        def close() -> pa.RecordBatch:
+            side, keys = np.array([h[0] for h in held]), np.array([h[1] for h in held], np.int64)
+            m = np.array([h[2] for h in held], np.float64)
+            norm = np.linalg.norm(m, axis=1, keepdims=True)
+            m = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+            score = m @ m.T
+            keep = (score >= least) & (keys[:, None] < keys[None, :])
+            if cell[1] != cell[2]:
+                keep &= side[:, None] != side[None, :]
+            x, y = np.nonzero(keep)
+            return pa.RecordBatch.from_arrays([pa.array([cell[0]] * len(x), kind), pa.array(keys[x]), pa.array(keys[y]), pa.array(score[x, y])], names=["g", "a", "b", "similarity"])
+
+        for batch in batches:
+            kind = batch.schema.field("g").type
+            for g, i, j, own_, k, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (g, i, j) != cell:
+                    if held:
+                        yield close()
+                    cell, held = (g, i, j), []
+                held.append((own_, k, v))
+        if held:
+            yield close()
+
+    kind = dict(rows.dtypes)["g"]
+    return cells.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(compare, f"g {kind}, a long, b long, similarity double")

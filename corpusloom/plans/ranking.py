@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions import metrics as M
+from corpusloom.functions import text as X
 from corpusloom.operators import dedup, retrieval
 from corpusloom.sources.tables import table
 
@@ -58,10 +59,11 @@ def ranking_quality(s: SparkSession, d: str) -> DataFrame:
 
 
 def statement_recall(s: SparkSession, d: str) -> DataFrame:
-    """Per question: expected statements, and those that stand word for word in a chunk of its pool."""
+    """Per question: expected statements, and those half of whose long words stand in one chunk of its pool."""
     q = table(s, d, "question_items").filter("expected_evidence is not null").select("question_id", F.explode("expected_evidence").alias("statement")).distinct()
-    c = table(s, d, "pool_chunks").select("question_id", "text").distinct()
-    found = q.join(c, "question_id").filter(F.contains("text", "statement")).select("question_id", "statement").distinct().withColumn("hit", F.lit(1))
+    c = table(s, d, "pool_chunks").select("question_id", X.long_words(F.col("text")).alias("words")).distinct()
+    wanted = X.long_words(F.col("statement"))
+    found = q.join(c, "question_id").filter(F.size(F.array_intersect("words", wanted)) * 2 >= F.size(wanted)).select("question_id", "statement").distinct().withColumn("hit", F.lit(1))
     joined = q.join(found, ["question_id", "statement"], "left")
     return joined.groupBy("question_id").agg(F.count("*").alias("expected"), F.count("hit").alias("covered"), M.ratio(F.count("hit"), F.count("*")).alias("recall"))
 
@@ -181,7 +183,7 @@ ORACLE = {
     "topk_cosine": f"WITH {_NEAR} SELECT query_id, item_id, place, round(sim, 6) AS similarity FROM top WHERE place <= 5",
     "similar_precision": f"WITH {_NEAR} SELECT query_id, round(avg(CASE WHEN label = ql THEN 1.0 ELSE 0.0 END), 4) AS precision_at_5, {_ndcg('label = ql', 5)} AS ndcg_at_5 FROM top WHERE place <= 5 GROUP BY query_id",
     "ranking_quality": f"WITH {_R}, {_P} SELECT query, round(count(*) FILTER (WHERE score >= 0.6 AND place <= 4) / count(*) FILTER (WHERE place <= 4), 4) AS precision_at_k, {_ndcg('score >= 0.6', 4)} AS ndcg_at_k, count(*) FILTER (WHERE place <= 4) AS inspected FROM placed GROUP BY query",
-    "statement_recall": """WITH q AS (SELECT DISTINCT question_id, unnest(expected_evidence) AS statement FROM question_items), h AS (SELECT DISTINCT q.question_id, statement, 1 AS hit FROM q JOIN pool_chunks c ON c.question_id = q.question_id AND contains(c.text, statement))
+    "statement_recall": """WITH q AS (SELECT DISTINCT question_id, unnest(expected_evidence) AS statement FROM question_items), h AS (SELECT DISTINCT q.question_id, statement, 1 AS hit FROM q JOIN pool_chunks c ON c.question_id = q.question_id AND len(list_intersect(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 7)), list_distinct(list_filter(string_split_regex(lower(statement), '[^a-z0-9]+'), lambda x: length(x) >= 7)))) * 2 >= len(list_distinct(list_filter(string_split_regex(lower(statement), '[^a-z0-9]+'), lambda x: length(x) >= 7))))
       SELECT q.question_id, count(*) AS expected, count(hit) AS covered, round(count(hit) / count(*), 4) AS recall FROM q LEFT JOIN h USING (question_id, statement) GROUP BY q.question_id""",
     "source_cap": f"WITH {_R}, {_CAP} SELECT query, CAST(place AS INTEGER) AS place, row_id FROM capped WHERE place <= 5",
     "selection_strategies": f"""WITH {_R}, {_P}, {_CAP}, u AS (SELECT 'topk' AS strategy, query, score, source_fingerprint FROM placed WHERE place <= 4 UNION ALL SELECT 'source_cap', query, score, source_fingerprint FROM capped WHERE place <= 4),
