@@ -82,3 +82,96 @@ def markdown(df: DataFrame, most: int = 1000) -> str:
         raise ValueError(f"more than {most} rows are no table to read")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join([*lines, *("| " + " | ".join("—" if v is None else str(v) for v in r) + " |" for r in rows)])
+
+
+def load_checked_set(spark: SparkSession, path: str, schema: str, key: str, manifest: DataFrame | None = None) -> DataFrame:
+    """`load_set`, or an error if the set's name is not its file's, or, with a manifest, if it is not the frozen one."""
+    items = load_set(spark, path, schema)
+    heads = items.select("name", "version").distinct().limit(2).collect()
+    stem = path.rstrip("/").rsplit("/", 1)[-1].split(".", 1)[0]
+    if len(heads) != 1 or heads[0]["name"] != stem:
+        raise ValueError(f"the set in {path} does not say that it is {stem}")
+    return items if manifest is None else frozen(items.drop("name", "version"), key, heads[0]["version"], manifest)
+
+
+def _fs(spark: SparkSession, path: str):  # noqa: ANN202
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, place = _fs(spark, path)
+    return fs.exists(place)
+
+
+def load_or_build(spark: SparkSession, path: str, key: str, build) -> DataFrame:  # noqa: ANN001
+    """A stored pool of rows, checked against its stored hash before use; built and stored only where there is none.
+
+    A pool that no longer has its hash is an error and is never refreshed silently.
+    """
+    if not exists(spark, f"{path}/hash"):
+        made = build()
+        made.write.mode("overwrite").parquet(f"{path}/rows")
+        set_fingerprint(spark.read.parquet(f"{path}/rows"), key).coalesce(1).write.mode("overwrite").json(f"{path}/hash")
+    rows = spark.read.parquet(f"{path}/rows")
+    said = spark.read.schema("sha256 string, items long").json(f"{path}/hash").first()
+    if set_fingerprint(rows, key).first()["sha256"] != said["sha256"]:
+        raise ValueError(f"the pool in {path} differs from its hash")
+    return rows
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Rows as JSON lines with nulls kept."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def resume_checked(spark: SparkSession, path: str, schema: str, key: str, order: str, fingerprint: str) -> DataFrame:
+    """`resume`, or an error unless the log's provenance line (a row with `set_fingerprint`) is that of this set."""
+    lines = spark.read.schema(f"set_fingerprint string, {schema}").json(path)
+    if lines.filter(F.col("set_fingerprint") == fingerprint).isEmpty() or not lines.filter(F.col("set_fingerprint") != fingerprint).isEmpty():
+        raise ValueError("the log is of another set")
+    w = Window.partitionBy(key).orderBy(F.desc(order))
+    return lines.filter("set_fingerprint is null").drop("set_fingerprint").withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
+def latest_artifact(spark: SparkSession, folder: str, name: str) -> str | None:
+    """The newest sub-folder, by its name, that holds a file `name`; None without one."""
+    fs, place = _fs(spark, folder)
+    found = [s.getPath() for s in fs.listStatus(place) if s.isDirectory()] if fs.exists(place) else []
+    held = sorted(p.getName() for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, name)))
+    return f"{folder.rstrip('/')}/{held[-1]}" if held else None
+
+
+def changed_files(spark: SparkSession, pattern: str, manifest: DataFrame) -> DataFrame:
+    """Files (by name) whose hash is not the manifest's (name, sha256), or that either side lacks."""
+    now = file_hashes(spark, pattern).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("sha256").alias("now"))
+    j = now.join(manifest.select("name", F.col("sha256").alias("said")), "name", "full")
+    return j.filter(~F.col("now").eqNullSafe(F.col("said")))
+
+
+def open_vectors(spark: SparkSession, path: str, model: str) -> DataFrame:
+    """A stored vector table, or an error if any of it was made by another embedding model."""
+    rows = spark.read.parquet(path)
+    others = [r["embedding_model"] for r in rows.select("embedding_model").distinct().limit(3).collect() if r["embedding_model"] != model]
+    if others:
+        raise ValueError(f"the vectors in {path} are of {others[0]}, not {model}")
+    return rows
+
+
+def publish(frames: dict[str, DataFrame], folder: str) -> None:
+    """Several tables at once: all are staged first, then moved into place; a failure before that leaves nothing behind."""
+    import uuid
+
+    spark = next(iter(frames.values())).sparkSession
+    stage = f"{folder.rstrip('/')}/_stage-{uuid.uuid4().hex}"
+    fs, staged = _fs(spark, stage)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    try:
+        for name, df in frames.items():
+            df.write.parquet(f"{stage}/{name}")
+        for name in frames:
+            fs.delete(path(f"{folder}/{name}"), True)
+            if not fs.rename(path(f"{stage}/{name}"), path(f"{folder}/{name}")):
+                raise OSError(f"{name} could not be moved to {folder}")
+    finally:
+        fs.delete(staged, True)
