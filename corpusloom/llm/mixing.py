@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from corpusloom.llm.tokens import TOKENIZER, token_counts
+from corpusloom.llm.tokens import token_counts
 from corpusloom.sources.tables import cut
 
 BUCKETS, SEED = 4096, 17
@@ -45,10 +45,18 @@ def water_fill(sizes: dict[str, int], weights: dict[str, float], caps: dict[str,
     return epochs
 
 
-def mixture(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, budget: float | None = None, seed: int = SEED) -> DataFrame:
+def largest_budget(sizes: dict[str, int], weights: dict[str, float], caps: dict[str, float]) -> float:
+    """The most tokens at which every source with tokens, weight and a cap gives its share and none is clamped."""
+    usable = [s for s, w in weights.items() if (w or 0) > 0 and sizes.get(s, 0) > 0 and (caps.get(s) or 0) > 0]
+    whole = sum(weights[s] for s in usable)
+    return min((caps[s] * sizes[s] * whole / weights[s] for s in usable), default=0.0)
+
+
+def mixture(documents: DataFrame, targets: DataFrame, tokenizer: str | None = None, budget: float | str | None = None, seed: int = SEED) -> DataFrame:
     """mix_name, source, doc_id, tokens, repeats: the documents chosen for each mix.
 
-    `budget`: tokens of a mix; by default those of all its sources once over.
+    `budget`: tokens of a mix; by default those of all its sources once over, which
+    clamps small sources at their cap; "largest" for the most that meets every share.
     Documents of a null source, or of none of a mix, are not chosen; null doc_ids
     are left out; empty texts repeat with their source and weigh nothing; equal
     ids are separate rows. Empty tables give no row. `targets` is a fixed table of
@@ -63,7 +71,10 @@ def mixture(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER
         own = [r for r in wanted if r["mix_name"] == mix]
         weights = {r["source"]: float(r["target_share"] or 0) for r in own}
         caps = {r["source"]: float(r["max_repeats"] or 0) for r in own}
-        room = budget if budget is not None else sum(totals.get(s, 0) for s in weights)
+        if budget == "largest":
+            room = largest_budget(totals, weights, caps)
+        else:
+            room = budget if budget is not None else sum(totals.get(s, 0) for s in weights)
         for source, epochs in water_fill(totals, weights, caps, room).items():
             whole = int(epochs + 1e-9)
             plan.append((mix, source, weights[source], int(caps[source]), epochs, whole, (epochs - whole if epochs - whole > 1e-9 else 0.0) * totals.get(source, 0)))
@@ -82,9 +93,10 @@ def mixture(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER
 
 
 def mix_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per mix and source: target and actual share of tokens, documents, tokens with repeats, most repeats."""
-    each = mixed.groupBy("mix_name", "source").agg(F.count("*").alias("documents"), F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("most_repeats"))
+    """Per mix and source: target and actual share of tokens, documents, tokens with repeats, least and most repeats of a
+    document chosen, and whether the source is clamped: all of it as often as it may be."""
+    each = mixed.groupBy("mix_name", "source").agg(F.count("*").alias("documents"), F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"), F.min("repeats").alias("least_repeats"), F.max("repeats").alias("most_repeats"))
     whole = Window.partitionBy("mix_name")
-    joined = targets.select("mix_name", "source", "target_share", "max_repeats").join(each, ["mix_name", "source"], "left").fillna(0, ["documents", "tokens", "most_repeats"])
+    joined = targets.select("mix_name", "source", "target_share", "max_repeats").join(each, ["mix_name", "source"], "left").fillna(0, ["documents", "tokens", "least_repeats", "most_repeats"])
     share = F.round(F.try_divide(F.col("tokens").cast("double"), F.sum("tokens").over(whole)), 6)
-    return joined.withColumn("actual_share", share)
+    return joined.withColumn("actual_share", share).withColumn("clamped", (F.col("least_repeats") == F.col("max_repeats")) & (F.col("documents") > 0))

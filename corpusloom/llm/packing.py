@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.tokens import TOKENIZER, token_counts
+from corpusloom.llm.tokens import token_counts
 
 #: Items of a shard, and containers of a step group.
 SHARD, STEP = 20_000, 8
@@ -151,7 +151,7 @@ def _kinds(pack_sizes: DataFrame) -> dict[int, str]:
     return {int(r["capacity_tokens"]): r["container_kind"] for r in pack_sizes.select("container_kind", "capacity_tokens").filter("capacity_tokens > 0 and container_kind is not null").collect()}
 
 
-def hierarchical(documents: DataFrame, pack_sizes: DataFrame, tokenizer: str = TOKENIZER, shard: int = SHARD, step: int = STEP) -> DataFrame:
+def hierarchical(documents: DataFrame, pack_sizes: DataFrame, tokenizer: str | None = None, shard: int = SHARD, step: int = STEP) -> DataFrame:
     """One row per document and piece: its container, place and step group; every document once.
 
     Empty texts take no room but are placed; null doc_ids are left out; repeated
@@ -165,7 +165,7 @@ def hierarchical(documents: DataFrame, pack_sizes: DataFrame, tokenizer: str = T
     return packed(sizes, kinds, max(1, -(-documents.count() // shard)), step)
 
 
-def by_capacity(documents: DataFrame, pack_sizes: DataFrame, tokenizer: str = TOKENIZER, shard: int = SHARD, step: int = STEP) -> DataFrame:
+def by_capacity(documents: DataFrame, pack_sizes: DataFrame, tokenizer: str | None = None, shard: int = SHARD, step: int = STEP) -> DataFrame:
     """The same for each capacity by itself: all documents in containers of every kind."""
     kinds = _kinds(pack_sizes)
     sizes = token_counts(documents, tokenizer)

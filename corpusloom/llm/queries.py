@@ -28,7 +28,9 @@ def queries() -> dict[str, Query]:
         "p7_fill": lambda s, d: packing.fill_report(packing.hierarchical(table(s, d, "documents"), table(s, d, "pack_sizes"))),
         "p8_mixture": lambda s, d: mixing.mixture(table(s, d, "documents"), table(s, d, "mix_targets")),
         "p8_shares": lambda s, d: mixing.mix_report(mixing.mixture(table(s, d, "documents"), table(s, d, "mix_targets")), table(s, d, "mix_targets")),
+        "p8_largest_shares": lambda s, d: mixing.mix_report(mixing.mixture(table(s, d, "documents"), table(s, d, "mix_targets"), budget="largest"), table(s, d, "mix_targets")),
         "p9_found": lambda s, d: sentences.p9_found(table(s, d, "documents")),
+        "p6_branches": lambda s, d: truncation.branches(table(s, d, "pool_chunks")),
         "p4_near_same_groups": lambda s, d: nearcopy.near_same_groups(table(s, d, "pool_chunks")),
     }
 

@@ -8,8 +8,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A tokenizer file of the `tokenizers` library; never copied into this repository.
+#: A tokenizer file of the `tokenizers` library, the same on every executor; never copied into this repository.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+#: The session's setting that names another one.
+SETTING = "spark.corpusloom.tokenizer"
 #: Characters encoded at once.
 BATCH_CHARS = 2_000_000
 
@@ -40,7 +42,8 @@ def _counter(path: str):
     return work
 
 
-def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """doc_id, source, tokens. Null and empty texts have 0 tokens; rows of a null doc_id are left out."""
+def token_counts(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """doc_id, source, tokens by `tokenizer`, else the session's setting, else TOKENIZER. Null and empty texts have 0 tokens; rows of a null doc_id are left out."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    return rows.filter("doc_id is not null").mapInArrow(_counter(tokenizer), "doc_id long, source string, tokens long")
+    path = tokenizer or documents.sparkSession.conf.get(SETTING, TOKENIZER)
+    return rows.filter("doc_id is not null").mapInArrow(_counter(path), "doc_id long, source string, tokens long")

@@ -318,3 +318,8 @@ def cut_share(chunks: DataFrame) -> DataFrame:
     return (
         rows.join(found, "row_id", "left").groupBy("provider").agg(F.count("*").alias("chunks"), F.count("was_cut").alias("cut")).withColumn("share", F.round(F.col("cut") / F.col("chunks"), 6))
     )
+
+
+def branches(chunks: DataFrame) -> DataFrame:
+    """branch, cut, chunks: how many rows that are not plainly whole each branch of the method decides, and how."""
+    return judged(chunks.select("row_id", "text")).groupBy("branch", "cut").agg(F.count("*").alias("chunks"))

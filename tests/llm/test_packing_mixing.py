@@ -81,3 +81,20 @@ def test_mixture_over_a_table(spark):
     report = {r["source"]: r for r in mixing.mix_report(mixed, targets).collect()}
     assert report["absent"]["documents"] == 0 and abs(sum(r["actual_share"] for r in report.values()) - 1) < 1e-5
     assert mixing.mixture(docs.filter("false"), targets).count() == 0
+
+
+def test_largest_budget_meets_every_share():
+    sizes, weights, caps = {"a": 100, "b": 10}, {"a": 0.5, "b": 0.5}, {"a": 4, "b": 2}
+    room = mixing.largest_budget(sizes, weights, caps)
+    e = mixing.water_fill(sizes, weights, caps, room)
+    assert room == 40 and e == {"a": 0.2, "b": 2.0}
+    assert mixing.largest_budget({}, weights, caps) == 0
+
+
+@needs_tokenizer
+def test_the_largest_budget_gives_the_target_shares(spark):
+    docs = spark.createDataFrame([(k, f"some words of text number {k}", "big" if k % 3 else "small") for k in range(900)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("m", "big", 0.2, 4), ("m", "small", 0.8, 2)], "mix_name string, source string, target_share double, max_repeats int")
+    report = {r["source"]: r for r in mixing.mix_report(mixing.mixture(docs, targets, budget="largest"), targets).collect()}
+    assert all(abs(r["actual_share"] - r["target_share"]) < 0.01 for r in report.values())
+    assert report["small"]["clamped"] and not report["big"]["clamped"]
