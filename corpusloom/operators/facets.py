@@ -19,6 +19,39 @@ BASELINE = r"\b(?:from|at|versus|than|relative to|compared with)\s(baseline|plac
 METHOD = r"\b(trial|cohort|survey|registry|meta-analysis|case-control|pilot|observational|randomised|randomized|double-blind)\b"
 SCOPE = r"\b(?:in|among|of|for)\s(adults|teenagers|older adults|women|men|children|students|athletes|pregnant women|school children|university students|young athletes|dairy farmers|retired miners|cancer survivors)\b"
 
+PERCENT, YEAR = r"\d+(?:\.\d+)?%", r"\b(?:19|20)\d\d\b"
+
+
+def places(text: Column, pattern: str) -> Column:
+    """Array of struct(start, end, value) of a pattern's matches, in code points, in order."""
+    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    long = lambda parts: F.aggregate(parts, F.lit(0), lambda n, x: n + F.length(x))
+    start = lambda i: long(F.slice(between, 1, i + 1)) + long(F.slice(found, 1, i))
+    index = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(index, lambda i: F.struct(start(i).alias("start"), (start(i) + F.length(F.get(found, i))).alias("end"), F.get(found, i).alias("value")))
+
+
+def owners(facet: Column, mentions: Column, preceding: bool = False) -> Column:
+    """The values of the mentions that a facet belongs to (structs of start, end, value; mentions in order).
+
+    One before all mentions belongs to all. With `preceding` (what an amount is per),
+    it belongs to the last mention before it, else to the first. Else it belongs to
+    the nearest, on a tie to the one before it.
+    """
+    gap = lambda m: F.greatest(F.lit(0), m["start"] - facet["end"], facet["start"] - m["end"])
+    before = lambda m: m["end"] <= facet["start"]
+    rank = lambda m: F.struct((F.when(before(m), 0).otherwise(1) if preceding else gap(m)).alias("d"), F.when(before(m), 0).otherwise(1).alias("f"), F.when(before(m), -m["start"]).otherwise(m["start"]).alias("s"), m["value"].alias("v"))
+    nearest = F.array(F.array_min(F.transform(mentions, rank))["v"])
+    if preceding:
+        return nearest
+    return F.when(facet["end"] <= F.get(mentions, F.lit(0))["start"], F.transform(mentions, lambda m: m["value"])).otherwise(nearest)
+
+
+def covering(text: Column, target: Column, mentions: Column) -> Column:
+    """The first mention (struct of start, end, value) that overlaps the first occurrence of `target`; null without one."""
+    at = F.instr(text, target) - 1
+    return F.get(F.filter(mentions, lambda m: (at >= 0) & (m["start"] < at + F.length(target)) & (at < m["end"])), F.lit(0))
+
 
 def values(text: Column, pattern: str) -> Column:
     """The distinct first groups of a pattern, sorted; null without one."""

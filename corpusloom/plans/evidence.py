@@ -234,6 +234,10 @@ ORACLE = {
       SELECT provider, metric, value FROM (SELECT provider, 'chunks' AS metric, chunks AS value FROM w UNION ALL SELECT provider, 'ranked', ranked FROM w UNION ALL SELECT provider, 'deepest', deepest FROM w UNION ALL SELECT provider, 'characters', characters FROM w) WHERE value IS NOT NULL""",
     "token_costs": """WITH t AS (SELECT depth, CAST(sum(coalesce(length(text), 0) // 4) AS BIGINT) AS tokens FROM documents GROUP BY 1), p(prefix, price) AS (VALUES ('a', 1.0), ('abs', 2.0), ('full', 3.0)),
       b AS (SELECT depth, tokens, arg_max(price, length(prefix)) AS price FROM t LEFT JOIN p ON starts_with(depth, prefix) GROUP BY 1, 2) SELECT depth, tokens, CAST(round(tokens * price, 6) AS DOUBLE) AS cost FROM b""",
+    "budget_fold": """WITH RECURSIVE e AS (SELECT user_id, coalesce(value, 0) AS cost, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+      r AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS spent, CAST(0 AS BIGINT) AS admitted, CAST(0 AS BIGINT) AS refused FROM e
+        UNION ALL SELECT r.user_id, e.n, CASE WHEN spent + cost > 100 THEN spent ELSE spent + cost END, admitted + CAST(spent + cost <= 100 AS BIGINT), refused + CAST(spent + cost > 100 AS BIGINT) FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+      SELECT user_id, max(admitted) AS admitted, max(refused) AS refused, round(max(spent), 4) AS spent FROM r GROUP BY 1""",
     "duplicate_flags": """WITH c AS (SELECT row_id, min(row_id) OVER (PARTITION BY question_id, content_hash) AS first FROM pool_chunks WHERE question_id IS NOT NULL AND content_hash IS NOT NULL) SELECT row_id, first FROM c WHERE row_id > first""",
     "section_spans": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE contains(text, '## ')),
       o AS (SELECT *, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_char, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id) - 1 AS BIGINT) AS size FROM l)

@@ -149,4 +149,6 @@ ORACLE = {
           THEN coalesce(nullif(array_to_string(list_filter(regexp_extract_all(t, '[A-Za-z0-9][A-Za-z0-9.\\-]*'), lambda w: lower(w) NOT IN ({_DROPPED})), ' '), ''), t) ELSE t END AS keywords
         FROM (SELECT question_id, regexp_replace(question, '^[\\s\\x{{00a0}}\\x{{2000}}-\\x{{200a}}\\x{{202f}}\\x{{3000}}]+|[\\s\\x{{00a0}}\\x{{2000}}-\\x{{200a}}\\x{{202f}}\\x{{3000}}]+$', '', 'g') AS t FROM question_items)""",
     "content_hashes": "SELECT depth, count(*) AS chunks, count(*) FILTER (WHERE sha256(text) = content_hash) AS agree, count(DISTINCT sha256(text)) AS texts FROM pool_chunks GROUP BY depth",
+    "derived_ids": """WITH h AS (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(coalesce(source, '') || ':' || sha256(text))) AS x FROM documents WHERE text IS NOT NULL)
+      SELECT doc_id, x[1:8] || '-' || x[9:12] || '-5' || x[14:16] || '-' || ['8', '9', 'a', 'b'][(strpos('0123456789abcdef', x[17]) - 1) % 4 + 1] || x[18:20] || '-' || x[21:32] AS document_uuid FROM h""",
 }

@@ -106,7 +106,13 @@ def chunk_contexts(s: SparkSession, d: str) -> DataFrame:
     return t.groupBy("context").agg(F.count("*").alias("chunks"))
 
 
-QUERIES = {f.__name__: f for f in (share_conflicts, chunk_contexts, processed, chunk_spans, simple_sentences, number_masks, amount_conflicts, kept_papers, merged_sources, mmr_selection)}
+def facet_owners(s: SparkSession, d: str) -> DataFrame:
+    """Years in a chunk and the percentages that own them: all where the year leads, else the nearest, the one before on a tie."""
+    t = table(s, d, "pool_chunks").filter("text is not null").select("row_id", facets.places(F.col("text"), facets.PERCENT).alias("m"), F.explode(facets.places(F.col("text"), facets.YEAR)).alias("y")).filter("size(m) > 0")
+    return t.select("row_id", F.col("y.value").alias("facet"), F.col("y.start").alias("facet_start"), F.array_join(facets.owners(F.col("y"), F.col("m")), ",").alias("owners"))
+
+
+QUERIES = {f.__name__: f for f in (facet_owners, share_conflicts, chunk_contexts, processed, chunk_spans, simple_sentences, number_masks, amount_conflicts, kept_papers, merged_sources, mmr_selection)}
 
 
 def _found(pattern: str, text: str = "lower(text)") -> str:
@@ -121,6 +127,8 @@ _LISTS = ", ".join(f"list_sort(list_distinct({v})) AS {k}_" for k, v in _FACETS.
 _NULLED = ", ".join(f"CASE WHEN len({k}_) > 0 THEN {k}_ END AS {k}" for k in _FACETS)
 _ROOM = "(a.step + b.step) / 2 + CASE WHEN a.near THEN 0.1 * a.v ELSE 0 END + CASE WHEN b.near THEN 0.1 * b.v ELSE 0 END"
 
+PERCENT, YEAR = facets.PERCENT, facets.YEAR
+
 ORACLE: dict[str, str] = {
     "chunk_contexts": f"""WITH f AS (SELECT {_LISTS} FROM pool_chunks WHERE text IS NOT NULL), t AS ({" UNION ALL ".join(f"SELECT '{k}:' || unnest({k}_) AS context FROM f" for k in _FACETS)}) SELECT context, count(*) AS chunks FROM t GROUP BY 1""",
     "share_conflicts": f"""WITH c AS (SELECT document_id, position, min(text) AS text FROM pool_chunks WHERE document_id IS NOT NULL AND position IS NOT NULL AND text IS NOT NULL GROUP BY ALL),
@@ -132,7 +140,22 @@ ORACLE: dict[str, str] = {
           WHEN a.v - ({_ROOM}) <= b.v AND b.v - ({_ROOM}) <= a.v THEN 'agree'
           WHEN a.period = b.period AND a.scope IS NOT NULL AND b.scope IS NOT NULL AND (a.baseline IS NULL) = (b.baseline IS NULL) AND (a.method IS NULL) = (b.method IS NULL) THEN 'disagree' ELSE 'unresolved' END AS class
         FROM m a JOIN m b ON a.document_id = b.document_id AND b.position = a.position + 1) SELECT class, count(*) AS pairs FROM k GROUP BY 1""",
-    "simple_sentences_": """WITH c AS (SELECT row_id, list_filter(list_transform(string_split(regexp_replace(text, '((?:[^.!?]|^)[.!?])\\s+([A-Z(\\[])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s FROM pool_chunks) SELECT row_id, CAST(len(s) AS INTEGER) AS sentences, CAST(list_max(list_transform(s, lambda x: length(x))) AS INTEGER) AS longest FROM c""",
     "number_masks": """WITH t AS (SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(lower(text), '[\\s\\x{00a0}\\x{2000}-\\x{200a}\\x{202f}\\x{3000}\\x{0085}\\x{2028}\\x{2029}\\x{000b}]+', ' ', 'g'), '^ | $', '', 'g'), '\\d+(?:[.,]\\d+)*', '#', 'g')) AS mask FROM documents WHERE text IS NOT NULL)
       SELECT mask, count(*) AS documents, min(doc_id) AS least FROM t GROUP BY 1 HAVING count(*) > 1""",
+    "kept_papers": """WITH RECURSIVE e AS (SELECT concat_ws('|', venue, CAST(year AS VARCHAR)) AS shelf, fingerprint AS f, paper_id AS i, row_number() OVER (PARTITION BY concat_ws('|', venue, CAST(year AS VARCHAR)) ORDER BY paper_key) AS n FROM paper_records),
+      r AS (SELECT DISTINCT shelf, CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS fs, CAST([] AS VARCHAR[]) AS ids, CAST(0 AS BIGINT) AS kept FROM e
+        UNION ALL SELECT shelf, n, CASE WHEN fresh THEN list_append(fs, f) ELSE fs END, CASE WHEN fresh THEN list_append(ids, i) ELSE ids END, kept + CAST(fresh AS BIGINT)
+        FROM (SELECT r.shelf, e.n, fs, ids, kept, f, i, NOT coalesce(list_contains(fs, f), false) AND NOT coalesce(list_contains(ids, i), false) AS fresh FROM r JOIN e ON e.shelf = r.shelf AND e.n = r.n + 1))
+      SELECT shelf, max(kept) AS kept FROM r GROUP BY 1""",
+    "merged_sources": """WITH RECURSIVE e AS (SELECT question_id, list_distinct(list_filter([source_fingerprint, source.doi, source.canonical_url], lambda x: x IS NOT NULL)) AS mine, row_number() OVER (PARTITION BY question_id ORDER BY row_id) AS n FROM pool_chunks WHERE question_id IS NOT NULL),
+      r AS (SELECT DISTINCT question_id, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(k VARCHAR, o BIGINT)[]) AS own, CAST(0 AS BIGINT) AS groups FROM e
+        UNION ALL SELECT question_id, n, list_concat(list_filter(own, lambda x: NOT list_contains(mine, x.k)), list_transform(mine, lambda m: {'k': m, 'o': coalesce(list_min(hits), groups)})), groups + CAST(len(hits) = 0 AS BIGINT)
+        FROM (SELECT r.question_id, e.n, own, groups, mine, list_transform(list_filter(own, lambda x: list_contains(mine, x.k)), lambda x: x.o) AS hits FROM r JOIN e ON e.question_id = r.question_id AND e.n = r.n + 1))
+      SELECT question_id, max(n) AS candidates, max(groups) AS merged FROM r GROUP BY 1""",
+    "facet_owners": f"""WITH t AS (SELECT row_id, text, regexp_extract_all(text, '{PERCENT}') AS mv, string_split_regex(text, '{PERCENT}') AS mp, regexp_extract_all(text, '{YEAR}') AS yv, string_split_regex(text, '{YEAR}') AS yp FROM pool_chunks WHERE text IS NOT NULL),
+      m AS (SELECT row_id, list_transform(range(1, len(mv) + 1), lambda i: {{'s': CAST(list_sum(list_transform(mp[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(mv[1:i - 1], lambda x: length(x))), 0) AS BIGINT), 'v': mv[i]}}) AS ms,
+        list_transform(range(1, len(yv) + 1), lambda i: {{'s': CAST(list_sum(list_transform(yp[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(yv[1:i - 1], lambda x: length(x))), 0) AS BIGINT), 'v': yv[i]}}) AS ys FROM t WHERE len(mv) > 0 AND len(yv) > 0),
+      y AS (SELECT row_id, ms, unnest(ys) AS y FROM m), o AS (SELECT row_id, y.v AS facet, y.s AS facet_start, y.s + length(y.v) <= ms[1].s AS is_lead,
+        list_min(list_transform(ms, lambda m: {{'d': greatest(0, greatest(m.s - (y.s + length(y.v)), y.s - (m.s + length(m.v)))), 'f': CASE WHEN m.s + length(m.v) <= y.s THEN 0 ELSE 1 END, 's': -m.s, 'v': m.v}})).v AS nearest, array_to_string(list_transform(ms, lambda m: m.v), ',') AS every FROM y)
+      SELECT row_id, facet, CAST(facet_start AS INTEGER) AS facet_start, CASE WHEN is_lead THEN every ELSE nearest END AS owners FROM o""",
 }

@@ -178,3 +178,13 @@ def test_a_set_s_fingerprint_does_not_depend_on_order_or_partitions(spark):
     b = files.set_fingerprint(spark.createDataFrame(rows[::-1], "id string, n int").repartition(7), "id").first()
     c = files.set_fingerprint(spark.createDataFrame(rows[1:], "id string, n int"), "id").first()
     assert a == b and a["items"] == 300 and c["sha256"] != a["sha256"]
+
+
+def test_owners_of_a_facet(spark):
+    from corpusloom.operators import facets
+
+    text = "😀 In 2010 it was 5% and 7% in 2011, then 9%."
+    row = spark.createDataFrame([(text,)], "t string").select(facets.places(F.col("t"), facets.PERCENT).alias("m"), facets.places(F.col("t"), facets.YEAR).alias("y"), "t")
+    got = row.select("m", "y", F.transform("y", lambda y: facets.owners(y, F.col("m"))).alias("o"), F.transform("y", lambda y: facets.owners(y, F.col("m"), True)).alias("p"), facets.covering(F.col("t"), F.lit("7% in"), F.col("m")).alias("c")).first()
+    assert [text[r["start"] : r["end"]] for r in got["m"]] == ["5%", "7%", "9%"]
+    assert got["o"] == [["5%", "7%", "9%"], ["7%"]] and got["p"] == [["5%"], ["7%"]] and got["c"]["value"] == "7%"
