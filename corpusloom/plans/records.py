@@ -145,9 +145,9 @@ def supported_chunks(s: SparkSession, d: str) -> DataFrame:
 
 
 def rendered_markers(s: SparkSession, d: str) -> DataFrame:
-    """Distinct years of bracketed citations that documents carry, in the order of first sight, as markers."""
-    t = table(s, d, "documents").filter("text is not null").select("doc_id", F.array_distinct(F.regexp_extract_all("text", F.lit(r"\([^()]*, (\d{4})\)"), F.lit(1))).alias("m"))
-    return t.select("doc_id", F.array_join(F.filter("m", lambda x: x != ""), ",").alias("markers")).filter("markers <> ''")
+    """Distinct years of bracketed citations that chunks carry, in the order of first sight, as markers."""
+    t = table(s, d, "pool_chunks").filter("text is not null").select("row_id", F.array_distinct(F.regexp_extract_all("text", F.lit(r"\([^()]*, (\d{4})\)"), F.lit(1))).alias("m"))
+    return t.select("row_id", F.array_join(F.filter("m", lambda x: x != ""), ",").alias("markers")).filter("markers <> ''")
 
 
 def prefixed_settings(s: SparkSession, d: str) -> DataFrame:
@@ -230,8 +230,8 @@ ORACLE = {
     "usage_known_and_estimated": "SELECT depth, count(text) AS measured, count(*) FILTER (WHERE text IS NULL) AS unknown, CAST(coalesce(sum(n_chars), 0) AS BIGINT) AS characters, CAST(coalesce(sum(coalesce(length(text), 0) // 4), 0) AS BIGINT) AS tokens, CAST(coalesce(sum(strlen(text)), 0) AS BIGINT) AS most FROM documents GROUP BY 1",
     "unresolved_claims": f"WITH {_C} SELECT coalesce(verdict, '(not judged)') AS verdict, depth, count(*) AS claims, count(DISTINCT question_id) AS reports FROM v WHERE NOT coalesce(verdict IN ('supported', 'partially_supported'), false) GROUP BY ALL",
     "supported_chunks": f"WITH {_C}, g AS (SELECT v.question_id, list_sort(list_distinct(list(p.chunk_id) FILTER (WHERE stated = 'supports' AND p.chunk_id IS NOT NULL))) AS ids FROM v JOIN pool_chunks p USING (row_id) GROUP BY 1) SELECT question_id, CAST(coalesce(len(ids), 0) AS INTEGER) AS supporting, sha256(coalesce(array_to_string(ids, ','), '')) AS ids_hash FROM g",
-    "rendered_markers": """WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\([^()]*, (\\d{4})\\)', 1)) AS m, generate_subscripts(regexp_extract_all(text, '\\([^()]*, (\\d{4})\\)', 1), 1) AS n FROM documents WHERE text IS NOT NULL),
-      f AS (SELECT doc_id, m, min(n) AS n FROM t WHERE m <> '' GROUP BY ALL) SELECT doc_id, string_agg(m, ',' ORDER BY n) AS markers FROM f GROUP BY 1""",
+    "rendered_markers": """WITH t AS (SELECT row_id, unnest(regexp_extract_all(text, '\\([^()]*, (\\d{4})\\)', 1)) AS m, generate_subscripts(regexp_extract_all(text, '\\([^()]*, (\\d{4})\\)', 1), 1) AS n FROM pool_chunks WHERE text IS NOT NULL),
+      f AS (SELECT row_id, m, min(n) AS n FROM t WHERE m <> '' GROUP BY ALL) SELECT row_id, string_agg(m, ',' ORDER BY n) AS markers FROM f GROUP BY 1""",
     "prefixed_settings": "SELECT pool_version, 'web_results' AS setting, count(*) AS pools, CAST(sum(web_results_requested) AS BIGINT) AS total FROM evidence_pools WHERE web_results_requested IS NOT NULL GROUP BY 1",
     "marked_gaps": "WITH h AS (SELECT question_id, count(DISTINCT source_fingerprint) AS links FROM pool_chunks WHERE question_id IS NOT NULL GROUP BY 1), q AS (SELECT question_id, min(set_name) AS set_name FROM question_items GROUP BY 1) SELECT set_name, count(*) FILTER (WHERE links IS NULL) AS gaps, CAST(coalesce(sum(links), 0) AS BIGINT) AS links FROM q LEFT JOIN h USING (question_id) GROUP BY 1",
     "section_matches": "SELECT lower(trim(title)) IN (SELECT lower(trim(title)) FROM documents WHERE title IS NOT NULL AND lang = 'en') AS matched, count(*) AS documents FROM documents WHERE title IS NOT NULL GROUP BY 1",
