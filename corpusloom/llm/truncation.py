@@ -50,7 +50,8 @@ _MARKS = re.compile(r"(?:\.{2,}|…|\[\s*(?:\.{3}|…)\s*\]|�|&#?\w{0,7})$")
 _DONE = re.compile(r"[.!?。！？।؟][\"”“»’')\]]*$")
 _SEGMENT = re.compile(r"(?:[.!?…。！？][\"”»’)\]]*|\[\.\.\.\])\s+(?=[^\sa-z])|\n+")
 _NUMBER_END = re.compile(r"([^\W\d_]+)\W{1,3}\d{1,3}\.$")
-_NUMBER = re.compile(r"([^\W\d_]+)\W{1,3}\d{1,3}\.(\d|\s)")
+_NUMBER = re.compile(r"(?<!\d)\d{1,3}\.(\d|\s)")
+_WORD_BEFORE = re.compile(r"([^\W\d_]+)\W{1,3}$")
 _LINES = re.compile(r"^(?:[-•*–]\s+\S.*|\d{1,2}[.)]\s+\S.*|(?:source|quelle|fuente|fonte|src)\s*:\s?\S.*\d{4}|[—–]\s*\S.*(?:newsroom|press office|redaktion|desk|agency)|.*(?:https?://|www\.)\S+|.*\b[\w-]+(?:\.[\w-]+)+/\S+)$", re.I)
 
 
@@ -146,14 +147,14 @@ class Bands:
     def keys(self) -> np.ndarray:
         return self.run[self.at].astype(np.int64)
 
-    def closing(self, i: int) -> tuple[int, int, str] | None:
-        """(band, hash of the verified words, rest) of the closing words of text i; None if it is too short."""
+    def closing(self, i: int) -> tuple[int, int, int, str] | None:
+        """(band, words verified beyond RUN, their hash, rest) of the closing words of text i; None if it is too short."""
         last = int(self.first[i + 1]) - LOOSE - RUN  # the last run that leaves the loose words out
         if last - WINDOW + 1 < self.first[i]:
             return None
         begin = last - WINDOW + 1 + int(self.run[last - WINDOW + 1 : last + 1].argmin())
         verified = _prefix_hashes(self.word, np.array([begin]))[0, last - begin]
-        return int(self.run[begin].astype(np.int64)), int(verified), self.shown[i].rstrip()[self.stop[self.first[i + 1] - LOOSE - 1] :]
+        return int(self.run[begin].astype(np.int64)), last - begin, int(verified), self.shown[i].rstrip()[self.stop[self.first[i + 1] - LOOSE - 1] :]
 
     def after(self, i: int, word: int) -> str:
         """What follows `word` in its text i: one word more than are loose, and what stands up to the next."""
@@ -182,30 +183,30 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = [closing(t) for t in texts]
             b = Bands(texts)
             ends = np.searchsorted(b.owner, np.arange(len(texts) + 1)).astype(np.int32)
-            tails = [(b.closing(i) if verdict != WHOLE else None) or (None, None, None) for i, (verdict, _) in enumerate(found)]
+            tails = [(b.closing(i) if verdict != WHOLE else None) or (None, None, None, None) for i, (verdict, _) in enumerate(found)]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0), pa.array([v for v, _ in found], pa.int32()), pa.array([g for _, g in found], pa.string()),
-                    *(pa.array([t[k] for t in tails], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.string()))),
+                    *(pa.array([t[k] for t in tails], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.string()))),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(b.keys())),
                 ],
-                names=["row_id", "verdict", "segment", "band", "tail", "rest", "bands"],
+                names=["row_id", "verdict", "segment", "band", "more", "tail", "rest", "bands"],
             )
 
 
 def _continuations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(band, tail, other): for every wanted band of a text, each closing run it may verify and what follows there."""
+    """(band, tail, other): for every wanted band of a text, each closing run it may verify, by its length, and what follows there."""
     for batch in batches:
         for lo in range(0, batch.num_rows, STEP):
             part = batch.slice(lo, STEP)
             b = Bands([t or "" for t in part.column(0).to_pylist()])
-            wanted = [set(x) for x in part.column(1).to_pylist()]
-            keys = b.keys().tolist()
-            use = np.fromiter((k in wanted[i] for k, i in zip(keys, b.owner.tolist(), strict=True)), bool, len(keys))
-            at, owner = b.at[use], b.owner[use].tolist()
+            lengths = [{h["band"]: h["lengths"] for h in x} for x in part.column(1).to_pylist()]
+            mask = np.fromiter((lengths[i].get(k, 0) for k, i in zip(b.keys().tolist(), b.owner.tolist(), strict=True)), np.int64, len(b.at))
+            use = mask > 0
+            at, owner, mask = b.at[use], b.owner[use].tolist(), mask[use].tolist()
             hashes = _prefix_hashes(b.word, at).tolist() if len(at) else []
-            ends = b.first[1:].tolist()
-            rows = [(int(b.run[begin].astype(np.int64)), h[c], b.after(i, begin + RUN + c - 1)) for begin, i, h in zip(at.tolist(), owner, hashes, strict=True) for c in range(WINDOW) if begin + RUN + c <= ends[i]]
+            ends, keys = b.first[1:].tolist(), b.run[at].astype(np.int64).tolist() if len(at) else []
+            rows = [(k, h[c], b.after(i, begin + RUN + c - 1)) for k, begin, i, h, bits in zip(keys, at.tolist(), owner, hashes, mask, strict=True) for c in range(WINDOW) if bits >> c & 1 and begin + RUN + c <= ends[i]]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True)], names=["band", "tail", "other"])
 
@@ -223,9 +224,9 @@ def copy_votes(rows: DataFrame, facts: DataFrame) -> DataFrame:
     closing run count once, so a phrase that many texts share is one row a
     continuation, not one a text.
     """
-    tails = facts.filter("band is not null").select("row_id", "band", "tail", "rest")
-    bands = broadcast_if_small(tails.select("band").distinct())
-    holders = facts.select("row_id", F.explode("bands").alias("band")).join(bands, "band", "left_semi").groupBy("row_id").agg(F.collect_set("band").alias("held"))
+    tails = facts.filter("band is not null").select("row_id", "band", "more", "tail", "rest")
+    bands = broadcast_if_small(stored(tails.groupBy("band").agg(F.bit_or(F.expr("shiftleft(1, more)")).alias("lengths"))))
+    holders = facts.select("row_id", F.explode("bands").alias("band")).join(bands, "band").groupBy("row_id").agg(F.collect_list(F.struct("band", "lengths")).alias("held"))
     texts = rows.join(broadcast_if_small(stored(holders)), "row_id").select("text", "held")
     wanted = broadcast_if_small(tails.select("band", "tail").distinct())
     others = texts.mapInArrow(_continuations, "band long, tail long, other string").join(wanted, ["band", "tail"], "left_semi").distinct()
@@ -246,7 +247,9 @@ def _segment_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             t = (text or "").rstrip()
             own = xxhash.xxh64_intdigest(t) - (1 << 63)
             seen = [t[s : s + HEADING + 1].split("\n", 1)[0] for s in (0, *(m.end() for m in _SEGMENT.finditer(t)))]
-            seen += [f"\0number {word}|{'.' if m[2].isspace() else ''}" for m in _NUMBER.finditer(t) for word in (m[1].lower(), "*")]
+            for m in _NUMBER.finditer(t):
+                if w := _WORD_BEFORE.search(t[max(0, m.start() - 40) : m.start()]):
+                    seen += [f"\0number {word}|{'.' if m[1].isspace() else ''}" for word in (w[1].lower(), "*")]
             for head in seen:
                 if head:
                     held = heads.setdefault(head, [0, own, own])
@@ -285,7 +288,7 @@ def judged(rows: DataFrame) -> DataFrame:
     words are judged by their closing alone; an empty table gives no row.
     """
     rows = rows.select(F.col("row_id").cast("long").alias("row_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull() & F.col("row_id").isNotNull())
-    facts = stored(rows.mapInArrow(_facts, "row_id long, verdict int, segment string, band long, tail long, rest string, bands array<long>"))
+    facts = stored(rows.mapInArrow(_facts, "row_id long, verdict int, segment string, band long, more int, tail long, rest string, bands array<long>"))
     unsure = facts.filter(F.col("verdict") != WHOLE).select("row_id", "verdict", "segment")
     votes = copy_votes(rows, facts)
     asked = unsure.filter((F.col("verdict") == OPEN) & (F.col("segment") != "") & (F.col("segment") != "\0line")).select("segment").distinct()
