@@ -42,6 +42,8 @@ END = "\x03"
 HEADING, TERMINAL, SEEN = 60, 0.5, 3
 #: Lengths of the beginnings on which segments are joined.
 LADDER = (4, 8, 16, 32)
+#: Texts that hold a wanted band up to which these are broadcast with their bands (about 400 bytes each).
+HOLDERS = 50_000
 WHOLE, CUT, OPEN = 0, 1, 2
 #: Texts worked on at once.
 STEP = 2000
@@ -227,7 +229,7 @@ def copy_votes(rows: DataFrame, facts: DataFrame) -> DataFrame:
     tails = facts.filter("band is not null").select("row_id", "band", "more", "tail", "rest")
     bands = broadcast_if_small(stored(tails.groupBy("band").agg(F.bit_or(F.expr("shiftleft(1, more)")).alias("lengths"))))
     holders = facts.select("row_id", F.explode("bands").alias("band")).join(bands, "band").groupBy("row_id").agg(F.collect_list(F.struct("band", "lengths")).alias("held"))
-    texts = rows.join(broadcast_if_small(stored(holders)), "row_id").select("text", "held")
+    texts = rows.join(broadcast_if_small(stored(holders), HOLDERS), "row_id").select("text", "held")
     wanted = broadcast_if_small(tails.select("band", "tail").distinct())
     others = texts.mapInArrow(_continuations, "band long, tail long, other string").join(wanted, ["band", "tail"], "left_semi").distinct()
     votes = tails.join(others, ["band", "tail"]).select("row_id", "rest", "other").mapInArrow(_votes, "row_id long, vote int")
