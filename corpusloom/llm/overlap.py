@@ -39,8 +39,9 @@ WINDOW, MASK = 4, 8
 BUCKET, RARE = 64, 6
 #: Least share of the shorter record's length in common chunks.
 LEAST = 0.25
-#: Lower bound of the share of a replacement's records with a neighbour, its z, and how much more frequent one side must be.
-SURE, Z, RATIO = 0.2, 1.64, 10.0
+#: Lower bound of the share of a replacement's records with a neighbour, its z, how many such records an exchange of words
+#: needs (one of one proves nothing there), and how much more frequent one side of it must be.
+SURE, Z, SEEN, RATIO = 0.1, 1.64, 2, 10.0
 #: Least share of the words of the shorter record (misspellings included) that stand in both.
 WORDS = 0.75
 #: Replacements of a pair up to which it counts as a neighbour.
@@ -133,14 +134,27 @@ def replaced(a: str, b: str) -> list[tuple[str, str, bool]]:
 
 
 def _runs_of(words: list[str], extra: Counter) -> list[tuple[str, str, str]]:
-    """(word before, word after, run) of the runs of words that the other text has not."""
-    extra, runs, begin = Counter(extra), [], None
-    for k, w in enumerate([*words, ""]):
-        if extra[w] > 0:
-            extra[w] -= 1
+    """(word before, word after, run) of the runs of words that the other text has not; of repeated words those that make fewer runs."""
+    forward, backward = _marked(words, extra), _marked(words[::-1], extra)[::-1]
+    runs = [_spans(words, m) for m in (forward, backward)]
+    return min(runs, key=len)
+
+
+def _marked(words: list[str], extra: Counter) -> list[bool]:
+    left, out = Counter(extra), []
+    for w in words:
+        out.append(left[w] > 0)
+        left[w] -= out[-1]
+    return out
+
+
+def _spans(words: list[str], marked: list[bool]) -> list[tuple[str, str, str]]:
+    runs, begin = [], None
+    for k, on in enumerate([*marked, False]):
+        if on:
             begin = k if begin is None else begin
         elif begin is not None:
-            runs.append((words[begin - 1] if begin else "^", w or "$", " ".join(words[begin:k])))
+            runs.append((words[begin - 1] if begin else "^", words[k] if k < len(words) else "$", " ".join(words[begin:k])))
             begin = None
     return runs
 
@@ -190,21 +204,24 @@ def _frequencies(records: DataFrame, terms: DataFrame) -> DataFrame:
     return records.withColumn("w", words).select(F.explode(F.array_distinct(both)).alias("term")).join(broadcast_if_small(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
 
 
-def same_by_corpus(pairs: DataFrame, records: DataFrame, sure: float = SURE, z: float = Z, ratio: float = RATIO, few: int = FEW) -> DataFrame:
+def same_by_corpus(pairs: DataFrame, records: DataFrame, sure: float = SURE, z: float = Z, seen: int = SEEN, ratio: float = RATIO, few: int = FEW) -> DataFrame:
     """Of `pairs` (rec_a, rec_b, fraction, diffs) those whose every replacement is a wording or a misspelling.
 
     A misspelling (one edit, two in long words) must be of a word at least twenty
-    times rarer, or of one that stands in two records at most. For a replacement, n
-    is the number of pairs with at most `few` differences that show it and m the
-    number of records with the rarer side (for an insertion, its rarest word or pair
-    of words); the lower bound of n / m must reach `sure`, and the other side must
-    be `ratio` times as frequent.
+    times rarer, or of one that stands in two records at most. For a replacement, m is
+    the number of records with its rarer side (for an insertion, its rarest word or
+    pair of words) and n how many of them stand in a pair with at most `few`
+    differences that shows it; the lower bound of n / m must reach `sure`, and for an
+    exchange n must be `seen` and the other side `ratio` times as frequent.
     """
     flat = stored(pairs.select("rec_a", "rec_b", "fraction", F.explode_outer("diffs").alias("t")).select(
         "rec_a", "rec_b", "fraction", F.coalesce("t.slip", F.lit(False)).alias("slip"),
         F.least("t.x", "t.y").alias("x"), F.greatest("t.x", "t.y").alias("y"), F.col("t").isNull().alias("equal"),
     ))
-    shown = pairs.filter(F.size("diffs") <= few).select(F.explode(F.expr("array_distinct(transform(diffs, t -> struct(least(t.x, t.y) AS x, greatest(t.x, t.y) AS y)))")).alias("t")).groupBy("t").agg(F.count("*").alias("n")).select("t.*", "n")
+    few_rows = pairs.filter(F.size("diffs") <= few).select("rec_a", "rec_b", F.explode("diffs").alias("t"))
+    turned = F.col("t.x") > F.col("t.y")
+    held = few_rows.select(F.least("t.x", "t.y").alias("x"), F.greatest("t.x", "t.y").alias("y"), F.when(turned, F.col("rec_b")).otherwise(F.col("rec_a")).alias("with_x"), F.when(turned, F.col("rec_a")).otherwise(F.col("rec_b")).alias("with_y"))
+    shown = held.groupBy("x", "y").agg(F.countDistinct("with_x").alias("nx"), F.countDistinct("with_y").alias("ny"))
     kinds = flat.filter("not equal").select("x", "y", "slip").distinct()
     pieces = "split({0}, ' ')"
     pairs_of = "transform(filter(sequence(0, size(split({0}, ' ')) - 1), i -> i > 0), i -> concat(split({0}, ' ')[i - 1], ' ', split({0}, ' ')[i]))"
@@ -213,11 +230,12 @@ def same_by_corpus(pairs: DataFrame, records: DataFrame, sure: float = SURE, z:
     df = _frequencies(records, sided.select("term").distinct())
     rarest = sided.join(df, "term").groupBy("x", "y").agg(F.min(F.when(F.col("side") == 0, F.col("df"))).alias("dx"), F.min(F.when(F.col("side") == 1, F.col("df"))).alias("dy"))
     m = F.least("dx", "dy")  # of an insertion the one side there is
-    p = F.least(F.lit(1.0), F.col("n") / m)
+    n = F.when((F.col("x") == "") | (F.col("dy") <= F.col("dx")), F.col("ny")).otherwise(F.col("nx"))
+    p = F.least(F.lit(1.0), n / m)
     low = (p + z * z / 2 / m - z * F.sqrt(F.greatest(F.lit(0.0), p * (1 - p) / m + z * z / 4 / m / m))) / (1 + z * z / m)
     spelt = F.col("slip") & (m <= F.greatest(F.lit(2.0), F.greatest("dx", "dy") / 20))
-    worded = (low >= sure) & ((F.col("x") == "") | (F.greatest("dx", "dy") >= ratio * m))
-    judged = kinds.join(rarest, ["x", "y"]).join(shown, ["x", "y"], "left").fillna(0, ["n"]).select("x", "y", "slip", (spelt | worded).alias("ok"))
+    worded = F.when(F.col("x") == "", low >= sure).otherwise((low >= sure) & (n >= seen) & (F.greatest("dx", "dy") >= ratio * m))
+    judged = kinds.join(rarest, ["x", "y"]).join(shown, ["x", "y"], "left").fillna(0, ["nx", "ny"]).select("x", "y", "slip", (spelt | worded).alias("ok"))
     return flat.join(judged, ["x", "y", "slip"], "left").groupBy("rec_a", "rec_b").agg(F.min(F.col("equal") | F.coalesce("ok", F.lit(False))).alias("same"), F.max("fraction").alias("fraction")).filter("same").select("rec_a", "rec_b", "fraction")
 
 
