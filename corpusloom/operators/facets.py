@@ -17,7 +17,7 @@ DURATIONS = r"\b(\d+\s(?:days?|weeks?|months?|years?))\b"
 PER = r"(?:\bper\s|/\s?)(day|week|month|year|kg|kilogram|person|capita|litre|serving|dose|hour)\b"
 BASELINE = r"\b(?:from|at|versus|than|relative to|compared with)\s(baseline|placebo|control|controls|usual care)\b"
 METHOD = r"\b(trial|cohort|survey|registry|meta-analysis|case-control|pilot|observational|randomised|randomized|double-blind)\b"
-SCOPE = r"\b(?:in|among|of|for)\s(adults|teenagers|older adults|women|men|children|students|athletes|pregnant women|school children|university students|young athletes|dairy farmers|retired miners|cancer survivors)\b"
+SCOPE = r"\b(?:in|among|of|for)\s((?:[a-z-]+\s)?(?:adults|teenagers|women|men|children|infants|students|athletes|workers|staff|nurses|patients|people|volunteers|parents))\b"
 
 PERCENT, YEAR = r"\d+(?:\.\d+)?%", r"\b(?:19|20)\d\d\b"
 
