@@ -143,3 +143,41 @@ def test_rare_pairs_equal_brute_force(spark):
         want |= {(a, b) for a, x, _ in members if x for b, y, _ in members if not y}
     assert want <= got and shared <= got and got
     assert all(set(frequent[a, True]) & set(frequent[b, False]) or (a, b) in want for a, b in got)
+
+
+def test_pairs_that_share_only_frequent_digests_are_found(spark):
+    rnd = random.Random(8)
+    some = ["roasted barley tea", "kelp gel", "fall risk in adults", "bone density", "night shift nurses", "does change", "school children", "what is known about"]
+    texts = sorted({" ".join(rnd.sample(some, 4)) for _ in range(900)})
+    rows = [(k, rnd.choice(["development", "held"]), t) for k, t in enumerate(texts)]
+    got = {(r["rec_a"], r["rec_b"]): (r["shared"], r["fraction_a"], r["fraction_b"]) for r in overlap.chunk_pairs(spark.createDataFrame(rows, "rec long, split string, norm string"), "development", ["held"], 0.6).collect()}
+    cuts = {k: {c: len(c) for c in overlap.cut_points(t)} for k, _, t in rows}
+    want = {}
+    for a, s, _ in rows:
+        for b, t, _ in rows:
+            if s == "development" and t == "held" and (n := sum(cuts[a][c] for c in cuts[a].keys() & cuts[b].keys())):
+                x, y = n / sum(cuts[a].values()), n / sum(cuts[b].values())
+                if max(x, y) >= 0.6:
+                    want[a, b] = (n, x, y)
+    assert got == want and len(want) > 1000
+
+
+def test_overlapping_equals_brute_force(spark, monkeypatch):
+    from corpusloom.llm import blocking
+
+    monkeypatch.setattr(blocking, "BLOCK", 100)  # several cells a token
+    rnd = random.Random(5)
+    size = lambda k: 90 if k % 100 == 7 else rnd.randrange(1, 12)
+    sets = {(k, left): {int(700 * rnd.random() ** 3) for _ in range(size(k))} for left in (True, False) for k in range(500)}
+    weight = {t: 1 + t % 3 for t in range(700)}
+    total = {x: sum(weight[t] for t in d) + (x[0] % 2) for x, d in sets.items()}
+    share = {x: rnd.choice([0.5, 0.6]) for x in sets}
+    rows = [(k, left, t, weight[t], total[k, left], share[k, left]) for (k, left), d in sets.items() for t in d]
+    df = spark.createDataFrame(rows, "rec long, left boolean, token long, weight int, total long, share double").repartition(5)
+    got = [tuple(r) for r in blocking.overlapping(df, 0.5).collect()]
+    want = set()
+    for (a, x), d in sets.items():
+        for (b, y), e in sets.items():
+            if x and not y and (n := sum(weight[t] for t in d & e)) and n >= share[b, y] * min(total[a, x], total[b, y]) - 1e-9:
+                want.add((a, b, n, total[a, x], total[b, y]))
+    assert len(got) == len(set(got)) and set(got) == want and any(len(sets[a, True]) > 64 for a, *_ in want)
